@@ -143,3 +143,10 @@ def ordinal(df: DataFrame, index: str, pos: str, pos_bits: int = 31) -> Column:
         F.col(index).cast("decimal(20,0)") * F.lit(2**pos_bits).cast("decimal(10,0)")
         + F.col(pos).cast("decimal(10,0)")
     )
+
+
+def narrow_index(df: DataFrame, index: str) -> DataFrame:
+    """Cast an index to int after checking, on that column alone, that all values fit."""
+    low, high = df.agg(F.min(index), F.max(index)).first()
+    fits = low is None or (low >= 0 and high < 2**31)
+    return df.withColumn(index, F.col(index).cast("int")) if fits else df

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -39,3 +41,20 @@ def local_session(cpus: int | str = "*", memory: str | None = None) -> SparkSess
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
     )
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send the package to the executors, once per application.
+
+    Batch functions are unpickled by import, so every worker needs the package.
+    """
+    context = spark.sparkContext
+    if not getattr(context, "_quillspark_shipped", False):
+        package = os.path.dirname(os.path.abspath(__file__))
+        target = os.path.join(tempfile.mkdtemp(prefix="quillspark-ship-"), "quillspark")
+        archive = shutil.make_archive(
+            target, "zip", os.path.dirname(package), os.path.basename(package)
+        )
+        context.addPyFile(archive)
+        context._quillspark_shipped = True
+    return spark
