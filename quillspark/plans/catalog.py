@@ -328,7 +328,8 @@ def first_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct spellings that the dictionary does not hold; its entries are capitalised."""
-    dictionary = benchmark_words(spark, sf_dir).select(F.initcap("word").alias("word"))
+    plain = benchmark_words(spark, sf_dir).filter(F.col("word").rlike("^[a-z]"))
+    dictionary = plain.select(F.initcap("word").alias("word"))
     found = documents(spark, sf_dir).select(F.explode_outer(words.runs("text")).alias("word"))
     candidates = found.filter(words.is_candidate_shape("word")).distinct()
     return vocab.drop_known(candidates, "word", dictionary)
