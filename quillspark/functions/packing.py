@@ -21,8 +21,8 @@ _CHUNK_END = "\n\n"
 
 
 def _over(budget: int) -> str:
-    """Pattern that finds a line longer than the budget."""
-    return rf"[^\n]{{{budget + 1}}}"
+    """Pattern that finds a line longer than the budget, tried at line starts only."""
+    return rf"(?dm)^[^\n]{{{budget + 1}}}"
 
 
 def _pack(lines: Column, budget: int) -> Column:
@@ -31,7 +31,7 @@ def _pack(lines: Column, budget: int) -> Column:
     A unit longer than the budget stays alone and whole.
     """
     closed = F.regexp_replace(lines, rf"(?s)(.{{1,{budget}}}|[^\n]+)(?:\n|\z)", "$1" + _CHUNK_END)
-    return F.regexp_replace(closed, r"(?<!\n)\n(?!\n)", " ")
+    return F.regexp_replace(closed, r"\n(?<!\n\n)(?!\n)", " ")
 
 
 def _pack_ragged_words(sentence: Column, budget: int) -> Column:

@@ -9,12 +9,17 @@ from quillspark.functions.chars import ANY_SPACE, INLINE_SPACE
 from quillspark.functions.columns import as_col, strip
 
 # The boundary rules.  The optional closing quote before the gap is
-# swallowed; only ASCII capitals and digits open a new sentence.
-SENTENCE_GAP = rf"""(?<=[.!?])["']?[{INLINE_SPACE}]+(?=["'(\[]?[A-Z0-9])"""
-CLAUSE_GAP = rf"(?<=[,;:])[{ANY_SPACE}]+"
+# swallowed; only ASCII capitals and digits open a new sentence.  Patterns start
+# with the rare character, not with a look-behind, which would be tried at every
+# position of the text.
+SENTENCE_GAP = rf"""([.!?])["']?[{INLINE_SPACE}]+(?=["'(\[]?[A-Z0-9])"""
+CLAUSE_GAP = rf"([,;:])[{ANY_SPACE}]+"
 TERMINATED = r"[^.!?]*[.!?]"
 
-_LINE_EDGE = rf"(?<![{INLINE_SPACE}])[{INLINE_SPACE}]*\n[{ANY_SPACE}]*"
+# White space after and before a newline.  The second one can only start at the
+# first character of a run, so a long run is scanned once.
+_LINE_START = rf"\n[{ANY_SPACE}]+"
+_LINE_END = rf"[{INLINE_SPACE}](?<![{INLINE_SPACE}]{{2}})[{INLINE_SPACE}]*+\n"
 
 
 def sentence_lines(text: Column | str) -> Column:
@@ -23,8 +28,9 @@ def sentence_lines(text: Column | str) -> Column:
     Newlines always end a sentence, so none is left inside one and the newline
     is a separator that cannot clash with the text.
     """
-    out = F.regexp_replace(as_col(text), SENTENCE_GAP, "\n")
-    return strip(F.regexp_replace(out, _LINE_EDGE, "\n"))
+    out = F.regexp_replace(as_col(text), SENTENCE_GAP, "$1\n")
+    out = F.regexp_replace(out, _LINE_START, "\n")
+    return strip(F.regexp_replace(out, _LINE_END, "\n"))
 
 
 def sentences(text: Column | str) -> Column:
@@ -34,7 +40,7 @@ def sentences(text: Column | str) -> Column:
 
 def clause_lines(sentence: Column | str) -> Column:
     """A sentence with a newline in place of the gap after ``, ; :``."""
-    return F.regexp_replace(as_col(sentence), CLAUSE_GAP, "\n")
+    return F.regexp_replace(as_col(sentence), CLAUSE_GAP, "$1\n")
 
 
 def clauses(sentence: Column | str) -> Column:
