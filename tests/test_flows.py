@@ -1,0 +1,146 @@
+"""The flows end to end on small containers made here."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.__main__ import main
+from quillspark.config import Settings, load_settings
+from quillspark.operators.synth import SilentSynthesizer
+from quillspark.plans.inbox import process_inbox, watch
+from quillspark.plans.prepare import prepare
+from quillspark.plans.render import render
+from quillspark.plans.review import commit, samples
+from quillspark.session import ship
+from quillspark.sources import epub, tables
+from quillspark.sources.store import Store
+from quillspark.sources.testbooks import pack_book
+
+QUIET = SilentSynthesizer(8_000, 8)
+
+
+def book(title="The Time Machine", author="H. G. Wells", extra=""):
+    docs = [
+        ("cov", "cover.xhtml", "<body><p>Cover</p></body>"),
+        ("c1", "ch1.xhtml",
+         "<body><h1>One<sup>1</sup></h1><p>I met the Eloi there. Dr. Smith saw it.</p></body>"),
+        ("gap", "gap.xhtml", "<body><div>nothing</div></body>"),
+        ("c2", "ch2.xhtml", f"<body><h2>Two</h2><p>We left soon. {extra}</p></body>"),
+    ]
+    return pack_book(title, author, docs, ["cov", "c1", "missing", "gap", "c2"])
+
+
+@pytest.fixture()
+def shelf(spark, tmp_path):
+    ship(spark)
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    (inbox / "tm.epub").write_bytes(book())
+    (inbox / "ignored.txt").write_text("x")
+    return inbox, Store(str(tmp_path / "work"))
+
+
+def test_containers(spark, shelf):
+    inbox, _ = shelf
+    (inbox / "bare.epub").write_bytes(book(None, None))
+    opened = epub.open_containers(epub.read_containers(spark, str(inbox)))
+    got = {r.source: (r.title, r.author, r.slug) for r in epub.books(opened).collect()}
+    assert got == {
+        "tm.epub": ("The Time Machine", "H. G. Wells", "the-time-machine"),
+        "bare.epub": ("bare.epub", "Unknown", "bare-epub"),
+    }
+    spine = epub.spine_docs(opened).filter(F.col("book_id").endswith("tm.epub"))
+    assert [(r.pos, r.item_id) for r in spine.orderBy("pos").collect()] == [
+        (0, "cov"), (1, "c1"), (3, "gap"), (4, "c2"),
+    ]
+
+
+def test_prepare_review_render(spark, shelf):
+    inbox, store = shelf
+    meta = prepare(epub.read_containers(spark, str(inbox)), store, 0).first()
+    assert (meta.n_chapters, meta.n_chunks) == (2, 2)
+    chunks = {r["index"]: r for r in store.read(spark, "chunks").collect()}
+    assert chunks[1].title == "One"
+    assert chunks[1].chunks == ["One I met the Eloi there. Doctor Smith saw it."]
+    assert set(chunks) == {1, 2}  # the cover holds number 0
+    names = {r.word: r.label for r in store.read(spark, "review").collect()}
+    assert names["Eloi"] == "PERSON"
+
+    library = render(spark, store, 1, QUIET).first()
+    assert library.n_chapters == 2
+    first = store.read(spark, "audio").count()
+    assert first == 2
+    render(spark, store, 2, QUIET)
+    assert store.read(spark, "audio").count() == first  # nothing left to do
+
+    book_id = store.read(spark, "books").first().book_id
+    edited = spark.createDataFrame(
+        [(book_id, 0, "Eloi", "X", True), (book_id, 1, "Smith", "Y", False)],
+        "book_id string, ord bigint, word string, ipa string, approved boolean",
+    )
+    heard = samples(spark, store, edited, 3, QUIET)
+    assert {(r.word, r.variant) for r in heard.collect()} == {
+        (w, v) for w in ("Eloi", "Smith") for v in ("default", "proposed")
+    }
+    hit = commit(spark, store, edited, 4)
+    assert [r["index"] for r in hit.collect()] == [1]
+    assert [(r.word, r.ipa) for r in store.lexicon(spark).collect()] == [("eloi", "X")]
+    render(spark, store, 5, QUIET)
+    redone = store.read(spark, "audio").filter("run = 5").collect()
+    assert [(r["index"], r.n) for r in redone] == [(1, 0)]
+    # The override is eight characters longer than the word: 8 frames each, 2 bytes.
+    old = store.read(spark, "audio").filter("run = 1 and index = 1").first()
+    assert len(redone[0].wav) - len(old.wav) == len("[](/X/)") * 8 * 2
+
+    marks = spark.read.parquet(store.path("marks") + "/batch=5").orderBy("index").collect()
+    assert marks[0].start_ms == 0 and marks[0].end_ms == marks[1].start_ms
+    lines = spark.read.text(store.path("metadata_text") + "/batch=5").drop("book_id")
+    whole = [r.value for r in lines.collect()]
+    assert whole[0] == ";FFMETADATA1" and "title=The Time Machine" in whole
+
+    sheet = store.path("sheet")
+    tables.write_review_sheet(
+        store.read(spark, "review"), store.read(spark, "books"), sheet
+    )
+    text = [r.value for r in spark.read.text(sheet).collect()]
+    assert text[0] == "# Pronunciation review: The Time Machine (H. G. Wells)"
+    assert "| Eloi | 1 | PERSON | 0.0 |  |" in text
+
+
+def test_inbox_is_idempotent(spark, shelf):
+    inbox, store = shelf
+    done = process_inbox(epub.read_containers(spark, str(inbox)), store, 0, QUIET)
+    assert [r.slug for r in done.collect()] == ["the-time-machine"]
+    again = process_inbox(epub.read_containers(spark, str(inbox)), store, 1, QUIET)
+    assert again.count() == 0
+
+
+def test_watch(spark, shelf):
+    inbox, store = shelf
+    watch(spark, str(inbox), store, QUIET).awaitTermination()
+    (inbox / "two.epub").write_bytes(book("Second", "B", "More, more."))
+    watch(spark, str(inbox), store, QUIET).awaitTermination()
+    slugs = sorted(r.slug for r in store.read(spark, "library").collect())
+    assert slugs == ["second", "the-time-machine"]
+
+
+def test_command_line(spark, shelf, tmp_path, capsys):
+    inbox, store = shelf
+    base = ["--work", store.root, "--silent"]
+    main([*base, "--run", "0", "prepare", str(inbox)], spark)
+    main([*base, "--run", "1", "render", "the-time-machine"], spark)
+    edited = tmp_path / "edited.json"
+    edited.write_text(json.dumps({"ord": 0, "word": "Eloi", "ipa": "X", "approved": True}))
+    main([*base, "--run", "2", "review", "samples", "the-time-machine", str(edited)], spark)
+    main([*base, "--run", "3", "review", "commit", "the-time-machine", str(edited)], spark)
+    assert [r.word for r in store.lexicon(spark).collect()] == ["eloi"]
+    assert "the-time-machine" in capsys.readouterr().out
+
+
+def test_settings(tmp_path):
+    assert load_settings(str(tmp_path / "none.toml")) == Settings()
+    path = tmp_path / "config.toml"
+    path.write_text('[model]\nmax_chunk_chars = 80\n[other]\nx = 1\n[oov]\nmin_count = 3\n')
+    got = load_settings(str(path))
+    assert (got.model_max_chunk_chars, got.oov_min_count, got.voice_speed) == (80, 3, 1.0)
