@@ -21,14 +21,20 @@ BUCKET_WIDTH = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a private one only where none is named."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session, as in tests, gets a private folder when none is named;
+    on a cluster the executors could not read it.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+    if getattr(context, "_quillspark_dir", None) is None:
+        context._quillspark_dir = tempfile.mkdtemp(prefix="quillspark-")
+    return context._quillspark_dir
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
