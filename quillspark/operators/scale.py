@@ -69,6 +69,8 @@ def fits_broadcast(
     df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> bool:
     """Measure a candidate broadcast side; only one row reaches the driver."""
+    if max_rows <= 0:
+        return False
     size = sum((_width(f) for f in df.schema.fields), F.lit(0))
     rows, octets = df.agg(F.count(F.lit(1)), F.sum(size)).first()
     return rows <= max_rows and (octets or 0) <= max_bytes
@@ -90,7 +92,8 @@ def sized_join(
     shuffled and salted: left rows of one key are dealt over ``salts`` tasks by
     a hash of ``salt_by`` (default: the whole row) and each right row is sent to all of them, so a hot
     key is split.  Works for the joins that keep left rows: inner, left,
-    left_semi, left_anti.
+    left_semi, left_anti.  Measuring is one pass over the right side, so a costly
+    one should be materialized first.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
@@ -118,7 +121,7 @@ def running_total(
     ``pos`` must be unique within the group.
     """
     valued = df.withColumn("_value", as_col(value)).withColumn(
-        "_bucket", F.floor(F.col(pos) / F.lit(width)).cast("bigint")
+        "_bucket", F.expr(f"`{pos}` div {int(width)}")
     )
     inside = W.partitionBy(*group, "_bucket").orderBy(pos)
     local = valued.withColumn(

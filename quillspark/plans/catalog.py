@@ -288,7 +288,7 @@ def container_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def container_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    opened = epub.open_containers(testbooks.pages_to_containers(pages(spark, sf_dir)))
+    opened = epub.open_containers(testbooks.pages_to_containers(pages(spark, sf_dir)), False)
     return epub.books(opened).select("title", "author", "slug", "source")
 
 
@@ -439,6 +439,11 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).filter(F.col("word").isNotNull())
 
 
+@query
+def lexicon_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.lexicon_json_lines(lexicon_table(spark, sf_dir)).select("line")
+
+
 # -- audio and timeline -------------------------------------------------------------
 
 

@@ -282,6 +282,14 @@ def test_lexicon_json(spark, tmp_path):
     assert tables.read_lexicon_json(spark, str(tmp_path / "none.json")).count() == 0
 
 
+def test_lexicon_json_is_one_sorted_map(spark, tmp_path):
+    lex = spark.createDataFrame([("weena", 'a"b'), ("eloi", "\u02c8X"), ("el", "c")], "word string, ipa string")
+    path = tmp_path / "lexicon"
+    tables.write_lexicon_json(lex, str(path))
+    whole = "".join(p.read_text() for p in sorted(path.glob("part-*")))
+    assert whole == '{\n  "el": "c",\n  "eloi": "\u02c8X",\n  "weena": "a\\"b"\n}\n'
+
+
 # -- audio and timeline -------------------------------------------------------------------
 
 
