@@ -24,6 +24,22 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def replace_where(text: Column, marks: list[str], pattern: str, replacement: str) -> Column:
+    """``regexp_replace`` for texts that hold one of the marks, others pass through.
+
+    Looking for a literal is a byte search; running a pattern decodes the whole
+    text first and is many times dearer.
+    """
+
+    def body(value: Column) -> Column:
+        found = F.contains(value, F.lit(marks[0]))
+        for mark in marks[1:]:
+            found = found | F.contains(value, F.lit(mark))
+        return F.when(found, F.regexp_replace(value, pattern, replacement)).otherwise(value)
+
+    return bind(text, body)
+
+
 def strip(value: Column | str) -> Column:
     """Trim Unicode white space from both ends."""
     return F.btrim(as_col(value), F.lit(STRIP_CHARS))

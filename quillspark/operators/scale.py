@@ -53,7 +53,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Use all cores when a small input arrives in fewer splits than there are cores.
 
     On a large input the scan already has more splits than cores and nothing
-    moves.
+    moves.  For use right after a read: asking a plan with shuffles for its
+    partitions would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
