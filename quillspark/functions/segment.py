@@ -6,19 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.functions.chars import ANY_SPACE, INLINE_SPACE
-from quillspark.functions.columns import as_col, strip
+from quillspark.functions.columns import as_col, bind, strip
 
 # The boundary rules.  The optional closing quote before the gap is
 # swallowed; only ASCII capitals and digits open a new sentence.  Patterns start
 # with the rare character, not with a look-behind, which would be tried at every
-# position of the text.
-SENTENCE_GAP = rf"""([.!?])["']?[{INLINE_SPACE}]+(?=["'(\[]?[A-Z0-9])"""
+# position of the text; possessive quantifiers, as giving back could never help.
+SENTENCE_GAP = rf"""([.!?])["']?+[{INLINE_SPACE}]++(?=["'(\[]?[A-Z0-9])"""
 CLAUSE_GAP = rf"([,;:])[{ANY_SPACE}]+"
 TERMINATED = r"[^.!?]*[.!?]"
 
-# White space after and before a newline.  The second one can only start at the
-# first character of a run, so a long run is scanned once.
+# White space after and before a newline.  The latter is rare: a look back from
+# each newline tells whether it occurs.  Its match can only start at the first
+# character of a run, so a long run is scanned once.
 _LINE_START = rf"\n[{ANY_SPACE}]+"
+_HAS_LINE_END = rf"\n(?<=[{INLINE_SPACE}]\n)"
 _LINE_END = rf"[{INLINE_SPACE}](?<![{INLINE_SPACE}]{{2}})[{INLINE_SPACE}]*+\n"
 
 
@@ -30,7 +32,14 @@ def sentence_lines(text: Column | str) -> Column:
     """
     out = F.regexp_replace(as_col(text), SENTENCE_GAP, "$1\n")
     out = F.regexp_replace(out, _LINE_START, "\n")
-    return strip(F.regexp_replace(out, _LINE_END, "\n"))
+    return strip(
+        bind(
+            out,
+            lambda t: F.when(
+                t.rlike(_HAS_LINE_END), F.regexp_replace(t, _LINE_END, "\n")
+            ).otherwise(t),
+        )
+    )
 
 
 def sentences(text: Column | str) -> Column:
