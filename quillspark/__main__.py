@@ -48,7 +48,7 @@ def _backend(settings: Settings, silent: bool) -> Synthesizer:
 
 
 def _books(spark: SparkSession, store: Store, slug: str) -> DataFrame:
-    return store.read(spark, "books").filter(F.col("slug") == slug).select("book_id")
+    return store.read(spark, "books").filter(F.col("slug") == slug).select("slug", "book_id")
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
@@ -64,7 +64,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         render(spark, store, run, _backend(settings, args.silent), books).show(truncate=False)
     elif args.command == "review":
         edited = spark.read.schema(schemas.EDITED).json(args.edited)
-        edited = edited.join(F.broadcast(_books(spark, store, args.slug).limit(1)))
+        edited = edited.withColumn("slug", F.lit(args.slug)).join(
+            _books(spark, store, args.slug), "slug"
+        )
         if args.step == "samples":
             backend = _backend(settings, args.silent)
             review.samples(spark, store, edited, run, backend).drop("wav").show(truncate=False)
