@@ -4,7 +4,6 @@ import glob
 import os
 
 import duckdb
-import pandas as pd
 
 
 def connect(sf_dir):
