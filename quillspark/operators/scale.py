@@ -16,7 +16,7 @@ from quillspark.functions.columns import as_col
 # A broadcast side must be measured to be no larger than this.
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 16
+SALTS = (16, 256)  # fewest and most tasks a hot key is dealt over
 BUCKET_WIDTH = 100_000
 
 
@@ -83,7 +83,7 @@ def sized_join(
     on: list[str],
     how: str = "inner",
     salt_by: list[str] | None = None,
-    salts: int = SALTS,
+    salts: int | None = None,
     max_rows: int = BROADCAST_ROWS,
     max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
@@ -92,7 +92,8 @@ def sized_join(
     A right side measured within the bound is broadcast.  Beyond it the join is
     shuffled and salted: left rows of one key are dealt over ``salts`` tasks by
     a hash of ``salt_by`` (default: the whole row) and each right row is sent to all of them, so a hot
-    key is split.  Works for the joins that keep left rows: inner, left,
+    key is split; the number follows the cluster and adaptive execution splits
+    further what is still too large.  Works for the joins that keep left rows: inner, left,
     left_semi, left_anti.  Measuring is one pass over the right side, so a costly
     one should be materialized first.
     """
@@ -100,6 +101,10 @@ def sized_join(
         raise ValueError(f"unsupported join type: {how}")
     if fits_broadcast(right, max_rows, max_bytes):
         return left.join(F.broadcast(right), on, how)
+    if salts is None:
+        fewest, most = SALTS
+        cores = left.sparkSession.sparkContext.defaultParallelism
+        salts = min(most, max(fewest, cores // 8))
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_by or left.columns]), F.lit(salts)).cast("int")
     dealt = left.withColumn("_salt", salt)
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -119,7 +124,7 @@ def running_total(
     A plain window would pull a whole group into one task.  Positions are cut
     into buckets of ``width`` instead: totals inside a bucket by a window over
     (group, bucket), and bucket offsets by a window over one row per bucket.
-    ``pos`` must be unique within the group.
+    ``pos`` must be unique within the group and group columns must not be null.
     """
     valued = df.withColumn("_value", as_col(value)).withColumn(
         "_bucket", F.expr(f"`{pos}` div {int(width)}")
@@ -134,7 +139,6 @@ def running_total(
     offsets = per_bucket.select(
         *group, "_bucket", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset")
     )
-    # Null-safe on the group columns is not needed: group keys are never null.
     joined = local.join(offsets, [*group, "_bucket"], "left")
     return joined.withColumn(name, F.col("_local") + F.col("_offset")).drop(
         "_value", "_bucket", "_local", "_offset"
