@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillspark.llm.curriculum import plan
 from quillspark.llm.url_filter import LIMIT, RULES, VOCABULARY, filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +66,11 @@ FROM parts p
 LEFT JOIN fitting f ON f.page_id = p.page_id AND f.url = p.url
 LEFT JOIN found h ON h.page_id = p.page_id AND h.url = p.url
 """
+
+
+@query
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken from every document, and the training position of its first use."""
+    planned = plan(table(spark, sf_dir, "documents"))
+    first = F.get("positions", F.lit(0)).alias("position")
+    return planned.select("doc_id", "size", "source_size", "target", "taken", first).orderBy("position", "doc_id")
