@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.curriculum import plan
+from quillspark.llm.quality import THRESHOLD, classify
 from quillspark.llm.url_filter import LIMIT, RULES, VOCABULARY, filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +75,12 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = plan(table(spark, sf_dir, "documents"))
     first = F.get("positions", F.lit(0)).alias("position")
     return planned.select("doc_id", "size", "source_size", "target", "taken", first).orderBy("position", "doc_id")
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = classify(docs, table(spark, sf_dir, "labels"))
+    predicted = (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", "held_out", "score", predicted)
