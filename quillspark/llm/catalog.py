@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.curriculum import plan
 from quillspark.llm.quality import THRESHOLD, classify
+from quillspark.llm.token_files import token_files
 from quillspark.llm.url_filter import LIMIT, RULES, VOCABULARY, filter_urls
 
+END_ID = 2  # closes every encoded document
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -31,6 +34,13 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits", "weight")
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file; it is installed on every machine and never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def _rows(values) -> str:
     return ", ".join("(" + ", ".join(repr(v) for v in row) + ")" for row in values)
 
@@ -84,3 +94,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = classify(docs, table(spark, sf_dir, "labels"))
     predicted = (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     return scored.select("doc_id", "held_out", "score", predicted)
+
+
+@query
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to Parquet in id order, described as read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files(spark, docs, tokenizer_path(), END_ID)

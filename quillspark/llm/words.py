@@ -60,9 +60,9 @@ def spans(offsets: np.ndarray, limit: int = 4 * BLOCK) -> Iterator[tuple[int, in
         start = stop
 
 
-def _block(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers and begins of a block; a word ends at each of ``breaks`` too."""
-    low = _LOWER[data]
+def _block(data: np.ndarray, breaks: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers, begins and ends of a block; a word ends at each of ``breaks`` too."""
+    low = _LOWER[data] if lower else data
     solid = _SOLID[low]
     before = np.empty(len(low), dtype=bool)
     before[0] = False
@@ -77,13 +77,21 @@ def _block(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
     sums = np.zeros(len(low) + 1, dtype=np.uint64)
     np.cumsum(_VALUE[low] * _power(_BASE, len(low))[: len(low)], out=sums[1:])
     inverse = _power(pow(_BASE, -1, 2**64), len(low))
-    return mix((sums[end] - sums[begin]) * inverse[begin]), begin
+    return mix((sums[end] - sums[begin]) * inverse[begin]), begin, end
 
 
 def word_numbers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of all words of the rows, and per row the index of its first word (one more at the end)."""
+    return word_places(data, offsets)[:2]
+
+
+def word_places(
+    data: np.ndarray, offsets: np.ndarray, lower: bool = True
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_numbers``, and where each word begins and ends in ``data``."""
     lo, hi = int(offsets[0]), int(offsets[-1])
-    numbers, begins, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], lo
+    none = np.zeros(0, np.int64)
+    numbers, begins, ends, at = [np.zeros(0, np.uint64)], [none], [none], lo
     while at < hi:
         stop = min(hi, at + BLOCK)
         if stop < hi:
@@ -98,12 +106,13 @@ def word_numbers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
                 while stop < row_end and _SOLID[data[stop]]:
                     stop += 1
         breaks = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, stop)] - at
-        h, begin = _block(data[at:stop], breaks)
+        h, begin, end = _block(data[at:stop], breaks, lower)
         numbers.append(h)
         begins.append(begin + at)
+        ends.append(end + at)
         at = stop
     begins = np.concatenate(begins)
-    return np.concatenate(numbers), np.searchsorted(begins, offsets)
+    return np.concatenate(numbers), np.searchsorted(begins, offsets), begins, np.concatenate(ends)
 
 
 def shingle_sets(numbers: np.ndarray, first: np.ndarray, k: int = 5) -> Iterator[np.ndarray]:
