@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm.adapt_join import near_duplicates
 from quillspark.llm.curriculum import plan
 from quillspark.llm.quality import THRESHOLD, classify
 from quillspark.llm.token_files import token_files
@@ -101,3 +102,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written to Parquet in id order, described as read back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_files(spark, docs, tokenizer_path(), END_ID)
+
+
+@query
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingle sets are alike by 0.8."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
