@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.adapt_join import near_duplicates
 from quillspark.llm.curriculum import plan
+from quillspark.llm.html_template import extract
 from quillspark.llm.quality import THRESHOLD, classify
 from quillspark.llm.token_files import token_files
 from quillspark.llm.url_filter import LIMIT, RULES, VOCABULARY, filter_urls
@@ -108,3 +109,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose five-word shingle sets are alike by 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract(pages).select("page_id", "url", "text", "n_chars")
