@@ -22,7 +22,8 @@ from pyspark.sql import Window as W
 from quillspark.llm.words import raw, spans, word_places
 from quillspark.operators.scale import shared_dir
 
-CACHED_WORDS = 2_000_000  # words whose ids a worker keeps, at about 20 bytes each
+CACHE_BITS = 21  # a worker keeps the ids of up to 2**21 words, one for each slot
+CACHE_IDS = 8_000_000  # and starts anew beyond this many ids
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1_000
@@ -45,10 +46,11 @@ class Encoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.split = split
-        self.numbers = np.zeros(0, np.uint64)  # sorted
-        self.starts = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        self.numbers = np.zeros(1 << CACHE_BITS, np.uint64)
+        self.starts = np.zeros(1 << CACHE_BITS, np.int32)
+        self.sizes = np.zeros(1 << CACHE_BITS, np.int32)
+        self.flat = np.zeros(CACHE_IDS // 8, np.int32)
+        self.used = 0
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts in one array, and how many each has."""
@@ -97,22 +99,26 @@ class Encoder:
                 [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:])]
             )
         numbers, first, begin, end = word_places(data, offsets, lower=False)
-        used, at, back = np.unique(numbers, return_index=True, return_inverse=True)
-        new = ~np.isin(used, self.numbers)
-        words = [data[begin[i] : end[i]].tobytes().decode() for i in at[new].tolist()]
-        ids, sizes = self._words(words)
-        merged = np.concatenate([self.numbers, used[new]])
-        order = np.argsort(merged, kind="stable")
-        merged = merged[order]
-        all_starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])[order]
-        all_sizes = np.concatenate([self.sizes, sizes])[order]
-        flat = np.concatenate([self.flat, ids])
-        place = np.searchsorted(merged, used)[back]
-        lengths = all_sizes[place]
-        out = _gather(flat, all_starts[place], lengths)
-        if len(merged) <= CACHED_WORDS:
-            self.numbers, self.starts, self.sizes, self.flat = merged, all_starts, all_sizes, flat
-        sums = np.concatenate([[0], np.cumsum(lengths)])
+        slot = (numbers & np.uint64((1 << CACHE_BITS) - 1)).astype(np.int32)
+        starts, sizes = self.starts[slot], self.sizes[slot]
+        missed = np.flatnonzero((self.numbers[slot] != numbers) | (sizes == 0))
+        new, at, back = np.unique(numbers[missed], return_index=True, return_inverse=True)
+        words = [data[begin[i] : end[i]].tobytes().decode() for i in missed[at].tolist()]
+        ids, n = self._words(words)
+        while len(self.flat) < self.used + len(ids):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        places = self.used + np.cumsum(n) - n
+        starts[missed], sizes[missed] = places[back], n[back]
+        out = _gather(self.flat, starts.astype(np.int64), sizes.astype(np.int64))
+        if self.used + len(ids) <= CACHE_IDS:
+            self.used += len(ids)
+            into = slot[missed[at]]
+            self.numbers[into], self.starts[into], self.sizes[into] = new, places, n
+        else:
+            self.numbers[:], self.sizes[:], self.used = 0, 0, 0
+            self.flat = self.flat[: CACHE_IDS // 8].copy()
+        sums = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         return out, np.diff(sums[first])
 
 
