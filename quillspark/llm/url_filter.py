@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 
 LIMIT = 2
 VOCABULARY: dict[str, int] = {
-    **dict.fromkeys(("porn", "xxx", "casino", "escort", "viagra", "warez", "camgirls", "sportsbook"), LIMIT),
+    **dict.fromkeys(("adult", "casino", "escort", "porn", "spam", "sportsbook", "viagra", "warez", "xxx"), LIMIT),
     **dict.fromkeys(
-        ("adult", "bet", "betting", "coupon", "crack", "dating", "download", "free", "hot", "loan",
-         "lottery", "nude", "poker", "prize", "sex", "torrent", "win"), 1,
+        ("ads", "bet", "bets", "betting", "cheap", "coupon", "crack", "dating", "download", "free", "hot",
+         "loan", "lottery", "nude", "pills", "poker", "prize", "sex", "torrent", "track", "win"), 1,
     ),
 }
 RULES: tuple[tuple[str, str], ...] = (
