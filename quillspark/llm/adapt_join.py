@@ -25,6 +25,7 @@ WORDS = 5
 PERCENT = 80
 SKETCH_BITS = 18  # two rows of counters, whatever the size of the input
 LONGEST = 8  # the largest number of shared prefix shingles asked for
+PLAIN_READ = 0.05  # entries of other documents expected for a shingle that isn't known to be common
 CHECK_COST = 1 / 16  # verifying a candidate of n shingles, in index entries read for each of them
 
 
@@ -102,7 +103,7 @@ def prefix(shingles: np.ndarray, level: np.ndarray, percent: int = PERCENT) -> t
     own = np.minimum(level[first], level[second])
     order = np.argsort(own, kind="stable")  # the shingles come in the order of their numbers
     most = min(LONGEST, need)
-    read = np.cumsum(np.where(own[order] > 0, np.exp2(own[order]), 0.0))[n - need : n - need + most]
+    read = np.cumsum(np.where(own[order] > 0, np.exp2(own[order]), PLAIN_READ))[n - need : n - need + most]
     asked = np.arange(1, most + 1)
     best = int(np.argmin(read + read / asked * n * CHECK_COST)) + 1
     return shingles[order[: n - need + best]], best
@@ -141,14 +142,6 @@ def _alike(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("_x"))
-    right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("_y"))
-    both = F.size(F.array_intersect("_x", "_y"))
-    union = F.size("_x") + F.size("_y") - both
-    return pairs.join(left, "a").join(right, "b").filter(both * 100 >= union * percent).select("a", "b")
-
-
 def _shingles(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,6 +162,25 @@ def _shingles(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, shingles array<long>")
 
 
+def _some_id() -> Column:
+    return F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("doc_id")
+
+
+def _verified(docs: DataFrame, first: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs that are alike, by the whole sets of one document (key, doc_id) of each key in them."""
+    pairs = materialize(pairs, "candidates")
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    ids = materialize(first.join(wanted, "key").select("doc_id").distinct(), "candidate-ids")
+    texts = sized_join(docs.select(_some_id(), "text"), ids, ["doc_id"], "left_semi")
+    sets = materialize(_shingles(texts, k), "candidate-sets")
+    left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("_x"))
+    right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("_y"))
+    both = F.size(F.array_intersect("_x", "_y"))
+    union = F.size("_x") + F.size("_y") - both
+    alike = pairs.join(left, "a").join(right, "b").filter(both * 100 >= union * percent)
+    return materialize(alike.select("a", "b").distinct(), "alike")
+
+
 def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Per row of ``docs`` (doc_id, n, key) and per key its component (key, root).
 
@@ -176,6 +188,7 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataF
     size, which settles large groups of near copies; then every candidate pair across two components,
     so no link that would join components is lost, and a group costs about its own size.
     """
+    # A null id takes part like any other; only the table of candidates' ids needs one.
     scanned = materialize(scan(docs, k), "shingle-scan")
     known = scanned.filter("slot is null").select("doc_id", "n", "key")
     level = levels(scanned.filter("slot is not null"))
@@ -191,11 +204,7 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataF
     )
     index = materialize(index, "shared-prefixes")
 
-    wanted = index.select("key").distinct()
-    first = known.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    ids = materialize(first.join(wanted, "key").select("doc_id").distinct(), "set-documents")
-    texts = sized_join(docs.select("doc_id", "text"), ids, ["doc_id"], "left_semi")
-    sets = materialize(_shingles(texts, k).dropDuplicates(["key"]), "sets")
+    first = known.filter("key is not null").groupBy("key").agg(F.min(_some_id()).alias("doc_id"))
 
     # First against a leader for each token and size class.
     grade = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
@@ -210,7 +219,7 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataF
         .filter("c >= l")
         .select("a", "b")
     )
-    links = materialize(_verified(stars, sets, percent), "star-links")
+    links = _verified(docs, first, stars, k, percent)
     found = materialize(components(links), "star-components")
 
     # Then all candidates whose components still differ.
@@ -233,8 +242,7 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataF
         .filter("c >= l")
         .select("a", "b")
     )
-    more = materialize(_verified(pairs, sets, percent), "cross-links")
-    both = links.union(more)
+    both = links.union(_verified(docs, first, pairs, k, percent))
     return known, materialize(components(both), "set-components").withColumnRenamed("node", "key")
 
 

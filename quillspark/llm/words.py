@@ -29,7 +29,8 @@ def _power(base: int, n: int) -> np.ndarray:
     if len(_powers.get(base, ())) < n:
         steps = np.full(max(n, BLOCK), base, dtype=np.uint64)
         steps[0] = 1
-        _powers[base] = np.cumprod(steps)
+        with np.errstate(over="ignore"):
+            _powers[base] = np.cumprod(steps)
     return _powers[base]
 
 
