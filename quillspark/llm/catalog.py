@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.adapt_join import near_duplicates
 from quillspark.llm.curriculum import plan
 from quillspark.llm.html_template import extract
+from quillspark.llm.order_minhash import fingerprints
 from quillspark.llm.quality import THRESHOLD, classify
 from quillspark.llm.token_files import token_files
 from quillspark.llm.url_filter import LIMIT, RULES, VOCABULARY, filter_urls
@@ -116,3 +117,9 @@ def op3_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract(pages).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints(table(spark, sf_dir, "documents"))
