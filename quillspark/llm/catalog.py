@@ -12,9 +12,11 @@ from quillspark.llm.curriculum import plan
 from quillspark.llm.html_template import extract
 from quillspark.llm.order_minhash import fingerprints
 from quillspark.llm.quality import THRESHOLD, classify
+from quillspark.llm.token_count import count_tokens
 from quillspark.llm.token_files import token_files
 from quillspark.llm.url_filter import LIMIT, RULES, VOCABULARY, filter_urls
 
+CONTEXT = 2048  # tokens
 END_ID = 2  # closes every encoded document
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +125,12 @@ def op3_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and whether it is over the limit of a context."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = count_tokens(docs, tokenizer_path())
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    return counted.select("doc_id", size, "n_tokens", (F.col("n_tokens") > CONTEXT).alias("over_limit"))
