@@ -8,6 +8,7 @@ little of them.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillspark.llm.words import raw, spans, word_places
-from quillspark.operators.scale import shared_dir
+from quillspark.operators.scale import materialize, shared_dir
 
 CACHE_BITS = 21  # a worker keeps the ids of up to 2**21 words, one for each slot
 CACHE_IDS = 8_000_000  # and starts anew beyond this many ids
@@ -28,6 +29,7 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1_000
 
+_SIGNED = re.compile(r"[^\W\d_]+[.,!?;:#%&$*|)-]+")
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -46,6 +48,9 @@ class Encoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.split = split
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.library.get_vocab_size(), dtype=bool)  # ids that end a piece
+        self.ends[[i for t, i in self.library.get_vocab(False).items() if suffix and t.endswith(suffix)]] = True
         self.numbers = np.zeros(1 << CACHE_BITS, np.uint64)
         self.starts = np.zeros(1 << CACHE_BITS, np.int32)
         self.sizes = np.zeros(1 << CACHE_BITS, np.int32)
@@ -59,11 +64,13 @@ class Encoder:
         return np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """As ``_each``, with words of letters, or letters and a stop, encoded many at a time.
+        """As ``_each``, with words of letters, or letters and signs after them, encoded many at a time.
 
-        The pieces of a joined text are told apart by their numbers: one for the letters, one for the stop.
+        The letters are a piece and the signs are one, and every piece ends with an id that says so.
         """
-        pieces = [1 if w.isalpha() else 2 if w[-1] in ".," and w[:-1].isalpha() else 0 for w in words]
+        pieces = [0] * len(words)
+        if self.ends.any():
+            pieces = [1 if w.isalpha() else 2 if _SIGNED.fullmatch(w) else 0 for w in words]
         sizes = np.zeros(len(words), np.int64)
         out: list[np.ndarray] = [np.zeros(0, np.int32)]
         order: list[np.ndarray] = []
@@ -71,14 +78,13 @@ class Encoder:
         odd = [i for i, n in enumerate(pieces) if not n]
         for at in range(0, len(plain), 500):
             group = plain[at : at + 500]
-            (encoded,) = self.library.encode_batch_fast(
-                [" ".join([words[i] for i in group])], add_special_tokens=False
-            )
-            piece, wanted = encoded.word_ids, np.array([pieces[i] for i in group])
-            counts = np.zeros(0) if None in piece else np.bincount(np.array(piece, dtype=np.int64))
-            if len(counts) == wanted.sum():
-                sizes[group] = np.add.reduceat(counts, np.cumsum(wanted) - wanted)
-                out.append(np.array(encoded.ids, dtype=np.int32))
+            joined = " ".join([words[i] for i in group])
+            (encoded,) = self.library.encode_batch_fast([joined], add_special_tokens=False)
+            ids, wanted = np.array(encoded.ids, dtype=np.int32), np.array([pieces[i] for i in group])
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) == wanted.sum() and ends[-1] == len(ids) - 1:
+                sizes[group] = np.diff(ends[np.cumsum(wanted) - 1], prepend=-1)
+                out.append(ids)
                 order.append(np.array(group))
             else:  # some word has more pieces than its letters tell
                 odd += group
@@ -243,5 +249,5 @@ def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: in
     """Write ``docs`` to new files in the shared folder and describe every document as read from them."""
     path = os.path.join(shared_dir(spark), f"tokens-{uuid.uuid4().hex}")
     write_tokens(docs, path, tokenizer, end_id)
-    described = with_start(checksums(read_tokens(spark, path)))
+    described = with_start(materialize(checksums(read_tokens(spark, path)), "token-sums"))
     return described.select("doc_id", "start", "n_tokens", "ids_crc32")
