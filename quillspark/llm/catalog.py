@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.adapt_join import near_duplicates
+from quillspark.llm.brown_lm import held_out_scores
 from quillspark.llm.curriculum import plan
 from quillspark.llm.html_template import extract
 from quillspark.llm.order_minhash import fingerprints
@@ -134,3 +135,10 @@ def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(docs, tokenizer_path())
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     return counted.select("doc_id", size, "n_tokens", (F.col("n_tokens") > CONTEXT).alias("over_limit"))
+
+
+@query
+def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under classes learned outside the held-out fold."""
+    scored = held_out_scores(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
