@@ -11,6 +11,7 @@ from quillspark.llm.adapt_join import near_duplicates
 from quillspark.llm.brown_lm import held_out_scores
 from quillspark.llm.curriculum import plan
 from quillspark.llm.html_template import extract
+from quillspark.llm.lsi import contaminated
 from quillspark.llm.order_minhash import fingerprints
 from quillspark.llm.quality import THRESHOLD, classify
 from quillspark.llm.token_count import count_tokens
@@ -142,3 +143,9 @@ def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document under classes learned outside the held-out fold."""
     scored = held_out_scores(table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op6_latent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, copied or paraphrased."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
