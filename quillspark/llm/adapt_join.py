@@ -110,12 +110,15 @@ def prefix(shingles: np.ndarray, level: np.ndarray, percent: int = PERCENT) -> t
 
 
 def entries(docs: DataFrame, level: np.ndarray, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Index entries (token, key, n, asked) of all documents' prefixes."""
+    """Index entries (token, key, n, asked, place, width) of all documents' prefixes.
+
+    ``place`` is a shingle's position in the document's order, ``width`` the length of the prefix.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, keys, sizes, asked, held = [], [], [], [], 0
+            tokens, keys, sizes, asked, places, widths, held = [], [], [], [], [], [], 0
             for row, shingles in _sets(batch, 0, k):
                 if len(shingles):
                     own, least = prefix(shingles, shared.value, percent)
@@ -123,23 +126,27 @@ def entries(docs: DataFrame, level: np.ndarray, k: int = WORDS, percent: int = P
                     keys.append(np.full(len(own), set_key(shingles), dtype=np.int64))
                     sizes.append(np.full(len(own), len(shingles), dtype=np.int64))
                     asked.append(np.full(len(own), least, dtype=np.int32))
+                    places.append(np.arange(len(own), dtype=np.int32))
+                    widths.append(np.full(len(own), len(own), dtype=np.int32))
                     held += len(own)
                 if held > 200_000 or (held and row + 1 == batch.num_rows):
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.concatenate(tokens).view(np.int64)),
-                            *[pa.array(np.concatenate(c)) for c in (keys, sizes, asked)],
+                            *[pa.array(np.concatenate(c)) for c in (keys, sizes, asked, places, widths)],
                         ],
-                        names=["token", "key", "n", "asked"],
+                        names=["token", "key", "n", "asked", "place", "width"],
                     )
-                    tokens, keys, sizes, asked, held = [], [], [], [], 0
+                    tokens, keys, sizes, asked, places, widths, held = [], [], [], [], [], [], 0
 
-    return docs.select("text").mapInArrow(run, "token long, key long, n long, asked int")
+    return docs.select("text").mapInArrow(run, "token long, key long, n long, asked int, place int, width int")
 
 
-def _alike(a: str, b: str, percent: int) -> Column:
-    """Sizes of which the smaller can be ``percent`` of a union."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _can_meet(n: str, lost: str | Column, m: str, gone: str | Column, percent: int) -> Column:
+    """Whether sets of n and m shingles can be alike when that many of each are in no other set."""
+    needed = (F.col(n) + F.col(m)) * percent  # at most 100 + percent times the intersection
+    lost, gone = (F.col(x) if isinstance(x, str) else x for x in (lost, gone))
+    return ((F.col(n) - lost) * (100 + percent) >= needed) & ((F.col(m) - gone) * (100 + percent) >= needed)
 
 
 def _shingles(docs: DataFrame, k: int) -> DataFrame:
@@ -184,9 +191,10 @@ def _verified(docs: DataFrame, first: DataFrame, pairs: DataFrame, k: int, perce
 def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Per row of ``docs`` (doc_id, n, key) and per key its component (key, root).
 
-    Equal sets have one key and are compared once.  Candidates are first checked against one leader for each token and
-    size, which settles large groups of near copies; then every candidate pair across two components,
-    so no link that would join components is lost, and a group costs about its own size.
+    Equal sets have one key and are compared once.  A shingle of a prefix that no other prefix holds is lost to any
+    intersection, which rules out most pairs before they are made.  Candidates are first checked
+    against one leader for each token and size, the set that loses least, which settles large groups of
+    near copies; then every candidate pair across two components, so no link that would join components is lost.
     """
     # A null id takes part like any other; only the table of candidates' ids needs one.
     scanned = materialize(scan(docs, k), "shingle-scan")
@@ -199,8 +207,12 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataF
         .withColumn("_low", F.min("key").over(token))
         .withColumn("_high", F.max("key").over(token))
         .filter("_low <> _high")
-        .select("token", "key", "n", "asked")
+        .select("token", "key", "n", "asked", "place", "width")
         .distinct()
+        .withColumn("lost", F.col("width") - F.count(F.lit(1)).over(W.partitionBy("key")))
+        .withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy("place")))
+        .filter((F.col("n") - F.col("lost")) * 100 >= F.col("n") * percent)
+        .drop("width", "place")
     )
     index = materialize(index, "shared-prefixes")
 
@@ -209,11 +221,16 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataF
     # First against a leader for each token and size class.
     grade = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
     group = W.partitionBy("token", "_grade")
-    led = index.withColumn("_grade", grade).withColumn("_leader", F.min(F.struct("key", "n", "asked")).over(group))
+    led = index.withColumn("_grade", grade).withColumn(
+        "_leader", F.min(F.struct("lost", "key", "n", "asked")).over(group)
+    )
     stars = (
         led.filter("key <> _leader.key")
-        .select("key", "n", "asked", F.col("_leader.key").alias("b"), F.col("_leader.n").alias("m"), F.col("_leader.asked").alias("l"))
-        .filter(_alike("n", "m", percent))
+        .select(
+            "key", "n", "asked", "lost", F.col("_leader.key").alias("b"), F.col("_leader.n").alias("m"),
+            F.col("_leader.asked").alias("l"), F.col("_leader.lost").alias("gone"),
+        )
+        .filter(_can_meet("n", "lost", "m", "gone", percent))
         .groupBy(F.col("key").alias("a"), "b")
         .agg(F.count(F.lit(1)).alias("c"), F.min(F.least("asked", "l")).alias("l"))
         .filter("c >= l")
@@ -234,12 +251,19 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataF
     )
     apart = materialize(apart, "apart")
     other = apart.toDF(*[c if c == "token" else f"{c}_b" for c in apart.columns])
-    pairs = (
+    # The first shingle that two sets share comes early among those that either shares with any set.
+    near = (
         apart.join(other, "token")
-        .filter((F.col("key") < F.col("key_b")) & (F.col("root") != F.col("root_b")) & _alike("n", "n_b", percent))
-        .groupBy(F.col("key").alias("a"), F.col("key_b").alias("b"))
-        .agg(F.count(F.lit(1)).alias("c"), F.min(F.least("asked", "asked_b")).alias("l"))
-        .filter("c >= l")
+        .filter((F.col("key") < F.col("key_b")) & (F.col("root") != F.col("root_b")))
+        .filter(_can_meet("n", F.col("lost") + F.col("nth") - 1, "n_b", F.col("lost_b") + F.col("nth_b") - 1, percent))
+        .select(F.col("key").alias("a"), F.col("key_b").alias("b"))
+        .distinct()
+    )
+    prefixes = index.groupBy("key").agg(F.collect_list("token").alias("_tokens"), F.min("asked").alias("_asked"))
+    pairs = (
+        near.join(prefixes.select(F.col("key").alias("a"), F.col("_tokens").alias("_s"), F.col("_asked").alias("_l")), "a")
+        .join(prefixes.select(F.col("key").alias("b"), F.col("_tokens").alias("_t"), F.col("_asked").alias("_m")), "b")
+        .filter(F.size(F.array_intersect("_s", "_t")) >= F.least("_l", "_m"))
         .select("a", "b")
     )
     both = links.union(_verified(docs, first, pairs, k, percent))
