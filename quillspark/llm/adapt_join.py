@@ -270,6 +270,21 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataF
     return known, materialize(components(both), "set-components").withColumnRenamed("node", "key")
 
 
+def with_key(docs: DataFrame, name: str, k: int = WORDS) -> DataFrame:
+    """Add the key of each text's set of shingles; null for a text without words."""
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    renamed = docs.toDF(*names)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [set_key(s) if len(s) else None for _, s in _sets(batch, at, k)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*names, "_key"])
+
+    schema = ", ".join(f"{n} {renamed.schema[n].dataType.simpleString()}" for n in names)
+    return renamed.mapInArrow(run, f"{schema}, _key long").toDF(*docs.columns, name)
+
+
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``.
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quillspark.llm.adapt_join import near_duplicates
 from quillspark.llm.brown_lm import held_out_scores
 from quillspark.llm.curriculum import plan
@@ -14,12 +15,12 @@ from quillspark.llm.html_template import extract
 from quillspark.llm.lsi import contaminated
 from quillspark.llm.order_minhash import fingerprints
 from quillspark.llm.quality import THRESHOLD, classify
+from quillspark.llm.tables import END_ID, table, tokenizer_path
 from quillspark.llm.token_count import count_tokens
 from quillspark.llm.token_files import token_files
 from quillspark.llm.url_filter import LIMIT, RULES, VOCABULARY, filter_urls
 
 CONTEXT = 2048  # tokens
-END_ID = 2  # closes every encoded document
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,10 +31,6 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 @query
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL judged by the rules, else by the vocabulary."""
@@ -41,13 +38,6 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits", "weight")
 
 
-def tokenizer_path() -> str:
-    """The vocabulary file; it is installed on every machine and never copied."""
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def _rows(values) -> str:
     return ", ".join("(" + ", ".join(repr(v) for v in row) + ")" for row in values)
 
@@ -149,3 +139,13 @@ def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_latent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, copied or paraphrased."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
