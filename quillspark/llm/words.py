@@ -44,10 +44,16 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and row offsets of a string column; a null counts as an empty text."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    """Bytes and row offsets of a string column, without a copy; a null counts as an empty text."""
+    pa.default_memory_pool().release_unused()  # of the batches before
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    wide = pa.types.is_large_string(column.type)
+    if not wide and not pa.types.is_string(column.type):
+        column, wide = column.cast(pa.large_string()), True
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    offsets = np.frombuffer(offsets, np.int64 if wide else np.int32) if offsets else np.zeros(1, np.int64)
+    offsets = offsets[column.offset : column.offset + len(column) + 1].astype(np.int64)
     return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), offsets
 
 
