@@ -62,6 +62,8 @@ _OUT_WORDS = frozenset(
     "disqus respond replies share sharing social related recommended newsletter subscribe subscription signup login "
     "search footer masthead toolbar pagination pager widget skip".split()
 )
+# Words that make a name say something about the page: "has-sidebar" is no sidebar.
+_ABOUT = frozenset("has with no without layout wrapper container page body content".split())
 _OUT_ROLES = frozenset(["navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"])
 _MAIN_WORDS = frozenset(["articlebody", "article", "post", "entry", "story"])
 
@@ -99,7 +101,9 @@ def _named(attributes: str) -> tuple[str, bool, bool]:
         if name == "role":
             out, main = out or value.lower() in _OUT_ROLES, main or value.lower() in ("main", "article")
         else:
-            out = out or bool(words & _OUT_WORDS)
+            names = value.split() if name != "itemprop" else []
+            parts = [{w.lower() for w in _WORD.findall(n)} for n in names]
+            out = out or any(p & _OUT_WORDS and not p & _ABOUT for p in parts)
             main = main or value.lower() in _MAIN_WORDS
         if name != "id" or not any(w.isdigit() for w in words):
             sign.append(f"{name}={value}")

@@ -26,6 +26,11 @@ def test_broken_markup():
     assert len(text_of("<article>" + "<p>w" * 20_000)) == 39_999
 
 
+def test_names_about_the_page():
+    assert text_of('<div class="page has-sidebar"><article><p>x</p><div class="left sidebar">y</div></article></div>') == "x"
+    assert text_of('<article><section id="commentSection">y</section><p class="loading">x</p></article>') in ("x", "y\nx")
+
+
 def test_host_template(spark):
     """Without article marks, what repeats on a host and menus are left out."""
     rows = [
