@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.words import raw, spans, word_numbers
+from quillspark.operators.scale import materialize
 
-SAMPLE_ROWS = 40_000  # labelled rows used for fitting, those of the smallest id hashes
+SAMPLE_ROWS = 40_000  # about so many labelled rows, by a hash of their ids, are used for fitting
 THRESHOLD = 0.7
 
 _CLASSES = ("lower", "upper", "digit", "space", "newline", "stop", "bang", "bar", "markup", "other", "high")
@@ -191,7 +192,7 @@ def _table(texts: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, **options) -> Forest:
-    """Fit on the labelled documents of at most ``sample_rows`` ids.
+    """Fit on the labelled documents of about ``sample_rows`` ids, those of the lowest hashes, or of all if they are fewer.
 
     An id labelled more than once takes the mean, ties giving 1; null ids and null labels are left out.
     """
@@ -199,9 +200,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, **
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         .groupBy("doc_id")
         .agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample_rows)
     )
+    marked = materialize(marked, "labelled")
+    known = marked.count()
+    if known > sample_rows:
+        steps = 1 << 40
+        marked = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < sample_rows * steps // known)
     rows = _table(docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")).toArrow()
     y = rows.column(0).to_numpy().astype(np.float64)
     x = np.stack([rows.column(f).to_numpy() for f in FEATURES], axis=1)
