@@ -9,14 +9,11 @@
 from __future__ import annotations
 
 import argparse
-import os
-import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark import schemas
-from quillspark.config import Settings, load_settings
+from quillspark.config import Settings, load_settings, rooted
 from quillspark.operators.synth import SilentSynthesizer, Synthesizer
 from quillspark.plans import inbox, review
 from quillspark.plans.prepare import prepare
@@ -24,13 +21,13 @@ from quillspark.plans.render import render, speech_service
 from quillspark.session import session, ship
 from quillspark.sources.epub import read_containers
 from quillspark.sources.store import Store
+from quillspark.sources.tables import read_review_json
 
 
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="quillspark")
     parser.add_argument("--config", default="config.toml")
     parser.add_argument("--work", help="table root; default from the settings")
-    parser.add_argument("--run", type=int, default=None, help="run number; default: the clock")
     parser.add_argument("--silent", action="store_true", help="render silence, without a service")
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("prepare").add_argument("path")
@@ -38,7 +35,7 @@ def _parser() -> argparse.ArgumentParser:
     reviewing = commands.add_parser("review")
     reviewing.add_argument("step", choices=("samples", "commit"))
     reviewing.add_argument("slug")
-    reviewing.add_argument("edited", help="JSON rows: word, ipa, approved, ord")
+    reviewing.add_argument("edited", help="the edited review list, a JSON array")
     commands.add_parser("inbox").add_argument("--watch", type=int, default=None)
     return parser
 
@@ -55,25 +52,24 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     args = _parser().parse_args(argv)
     settings = load_settings(args.config)
     spark = ship(spark or session())
-    store = Store(args.work or os.path.abspath(settings.paths_work))
-    run = int(time.time()) if args.run is None else args.run
+    store = Store(args.work or rooted(settings.paths_work))
     if args.command == "prepare":
-        prepare(read_containers(spark, args.path), store, run, settings).show(truncate=False)
+        prepare(read_containers(spark, args.path), store, settings).show(truncate=False)
     elif args.command == "render":
         books = _books(spark, store, args.slug)
-        render(spark, store, run, _backend(settings, args.silent), books).show(truncate=False)
+        render(spark, store, _backend(settings, args.silent), books, settings=settings).show(truncate=False)
     elif args.command == "review":
-        edited = spark.read.schema(schemas.EDITED).json(args.edited)
+        edited = read_review_json(spark, args.edited)
         edited = edited.withColumn("slug", F.lit(args.slug)).join(
             _books(spark, store, args.slug), "slug"
         )
         if args.step == "samples":
             backend = _backend(settings, args.silent)
-            review.samples(spark, store, edited, run, backend).drop("wav").show(truncate=False)
+            review.samples(spark, store, edited, backend).drop("wav").show(truncate=False)
         else:
-            review.commit(spark, store, edited, run).show(truncate=False)
+            review.commit(spark, store, edited, settings, filed=True).show(truncate=False)
     else:
-        folder = os.path.abspath(settings.paths_inbox)
+        folder = rooted(settings.paths_inbox)
         backend = _backend(settings, args.silent)
         inbox.watch(spark, folder, store, backend, settings, args.watch).awaitTermination()
 

@@ -12,7 +12,7 @@ from quillspark.operators.lexicon import (
     affected, apply_lexicon, approved, example_sentence, proposed, upsert_lexicon, variants,
 )
 from quillspark.operators.scale import materialize, running_total, sized_join
-from quillspark.operators.synth import HttpSynthesizer, SilentSynthesizer, is_up, synthesize
+from quillspark.operators.synth import HttpSynthesizer, SilentSynthesizer, service_status, synthesize
 from quillspark.operators.timeline import (
     book_hours, chapter_audio, chapter_seconds, chunk_durations, chunk_report, concat_manifest,
     ffmetadata, marks, pair_by_position, render_report,

@@ -190,7 +190,7 @@ def repair_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = text.prefix("text", 90)
+    title = F.col("text")
     return documents(spark, sf_dir).select(
         "doc_id", text.slug(title).alias("slug"), text.slug(F.regexp_replace(title, "[A-Za-z]", "?"))
         .alias("bare_slug"),
@@ -455,10 +455,14 @@ def synthesis_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def durations_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rendered_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     backend = synth.SilentSynthesizer(RATE, FRAMES_PER_CHAR)
-    rendered = synth.synthesize(chunk_rows_of(spark, sf_dir), backend, "chunk")
-    return timeline.chunk_durations(rendered)
+    return synth.synthesize(chunk_rows_of(spark, sf_dir), backend, "chunk").drop("error", "bytes")
+
+
+def durations_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames and rate as they stand beside the audio; no samples are read."""
+    return rendered_of(spark, sf_dir).drop("wav")
 
 
 @query
@@ -469,7 +473,7 @@ def chapter_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def chapter_wavs(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = timeline.chapter_audio(
-        materialize(durations_of(spark, sf_dir), "audio"), part_bytes=PART_BYTES
+        materialize(timeline.chunk_durations(rendered_of(spark, sf_dir)), "audio"), part_bytes=PART_BYTES
     )
     return parts.select(
         "book_id", "index", "part", "frames", "rate",
@@ -493,7 +497,7 @@ def book_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def marks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     timed = table(spark, sf_dir, "documents").select(
         F.col("source").alias("book_id"), F.col("doc_id").alias("index"),
-        F.substring("text", 1, 40).alias("title"), (F.col("n_chars") / 16).alias("seconds"),
+        F.col("text").alias("title"), (F.col("n_chars") / 16).alias("seconds"),
     )
     return timeline.marks(timed, width=1_000)
 
@@ -597,7 +601,7 @@ def chapters_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunked chapters written as JSON per book and read back."""
     docs = documents(spark, sf_dir, "text", "source").select(
         F.col("source").alias("book_id"), F.col("doc_id").cast("int").alias("index"),
-        F.substring("text", 1, 30).alias("title"), packing.chunks("text").alias("chunks"),
+        F.col("text").alias("title"), packing.chunks("text").alias("chunks"),
     )
     back = tables.round_trip_chapters(docs)
     rows = explode_with_pos(back, F.col("chunks"), "n", "chunk")
@@ -610,3 +614,11 @@ def inbox_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.plans.inbox import stream_pages
 
     return stream_pages(spark, pages(spark, sf_dir))
+
+
+@query
+def inbox_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every batch processed twice, as after a failure before its commit."""
+    from quillspark.plans.inbox import stream_pages
+
+    return stream_pages(spark, pages(spark, sf_dir), repeats=2)

@@ -358,27 +358,39 @@ def test_encoder_arguments(spark):
 # -- synthesis and increments ------------------------------------------------------------------
 
 
-def test_retries_wait_after_every_failure():
-    waits, calls = [], []
+def test_a_pause_follows_every_failure():
+    pauses, answers = [], [b"", b"ok"]
 
-    def flaky(text):
-        calls.append(text)
-        return b"" if len(calls) == 1 else b"ok"
+    class Slow:
+        def render(self, text):
+            return answers.pop(0)
 
-    assert synth.with_retries(flaky, "t", 3, waits.append) == b"ok"
-    assert waits == [1]
+    assert synth.speak(Slow(), "t", synth.Patience(3), pauses.append) == (b"ok", None) and pauses == [1]
+    pauses.clear()
+    sound, trouble = synth.speak(Slow(), "t", synth.Patience(3), pauses.append)
+    assert sound is None and trouble.startswith("IndexError") and pauses == [1, 2, 4]
 
-    def broken(text):
-        raise OSError("down")
 
-    waits.clear()
-    with pytest.raises(RuntimeError, match="after 3 tries: down"):
-        synth.with_retries(broken, "t", 3, waits.append)
-    assert waits == [1, 2, 4]
+def test_no_answer_no_status():
+    assert synth.service_status("http://127.0.0.1:9/v1/audio/speech", timeout=0.2) is None
+    assert synth.service_status("no address") is None
 
 
-def test_unreachable_service():
-    assert synth.is_up("http://127.0.0.1:9/v1/audio/speech", timeout=0.2) is False
+def test_audio_leaves_in_frames(spark):
+    """A partition may hold more audio than one Arrow column could."""
+    docs = spark.range(40).selectExpr("id", "repeat('x', 100) as text").coalesce(1)
+    made = synth.synthesize(docs, synth.SilentSynthesizer(8_000, 8), frame_bytes=2_000)
+    rows = made.select("id", "bytes", "frames", "rate", "error").collect()
+    assert len(rows) == 40 and {(r.bytes, r.frames, r.rate, r.error) for r in rows} == {(1_644, 800, 8_000, None)}
+
+
+def test_spellings_of_one_key_give_one_entry(spark):
+    """Shipped or joined, the last spelling in code-point order counts."""
+    entries = spark.createDataFrame([("Eloi", "x"), ("eloi", "y"), ("ELOI", "z")], "word string, ipa string")
+    texts = spark.createDataFrame([(1, "Eloi met ELOI")], "id int, text string")
+    for most in (100, 0):
+        got = lexicon.apply_lexicon(texts, "text", entries, ["id"], ship_rows=most).first().text
+        assert got == "[Eloi](/y/) met [ELOI](/y/)"
 
 
 def test_pending_keeps_empty_results(spark):
