@@ -23,8 +23,8 @@ from pyspark.sql import Window as W
 from quillspark.llm.words import raw, spans, word_places
 from quillspark.operators.scale import materialize, shared_dir
 
-CACHE_BITS = 21  # a worker keeps the ids of up to 2**21 words, one for each slot
-CACHE_IDS = 8_000_000  # and starts anew beyond this many ids
+CACHE_BITS = 20  # a worker keeps the ids of up to 2**20 words, one for each slot
+CACHE_IDS = 4_000_000  # and starts anew beyond this many ids
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1_000
