@@ -142,11 +142,13 @@ def entries(docs: DataFrame, level: np.ndarray, k: int = WORDS, percent: int = P
     return docs.select("text").mapInArrow(run, "token long, key long, n long, asked int, place int, width int")
 
 
-def _can_meet(n: str, lost: str | Column, m: str, gone: str | Column, percent: int) -> Column:
-    """Whether sets of n and m shingles can be alike when that many of each are in no other set."""
-    needed = (F.col(n) + F.col(m)) * percent  # at most 100 + percent times the intersection
-    lost, gone = (F.col(x) if isinstance(x, str) else x for x in (lost, gone))
-    return ((F.col(n) - lost) * (100 + percent) >= needed) & ((F.col(m) - gone) * (100 + percent) >= needed)
+def _can_meet(n: str, place: str, m: str, other: str, percent: int, before: Column | int = 0) -> Column:
+    """Whether sets of n and m shingles that share those at two places of their order can be alike.
+
+    ``before`` is how many they may share before these; none if they are the first they share.
+    """
+    both = F.least(F.col(n) - F.col(place), F.col(m) - F.col(other)) + before
+    return both * (100 + percent) >= (F.col(n) + F.col(m)) * percent
 
 
 def _shingles(docs: DataFrame, k: int) -> DataFrame:
@@ -191,10 +193,11 @@ def _verified(docs: DataFrame, first: DataFrame, pairs: DataFrame, k: int, perce
 def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Per row of ``docs`` (doc_id, n, key) and per key its component (key, root).
 
-    Equal sets have one key and are compared once.  A shingle of a prefix that no other prefix holds is lost to any
-    intersection, which rules out most pairs before they are made.  Candidates are first checked
-    against one leader for each token and size, the set that loses least, which settles large groups of
-    near copies; then every candidate pair across two components, so no link that would join components is lost.
+    Equal sets have one key and are compared once.  A shingle of a prefix that no other prefix holds makes no
+    candidate, but it may still be in another set.  Pairs are ruled out only by their sizes and the places of
+    a shingle they share.  Candidates are first checked against one leader for each token and size, the set with the
+    fewest shingles alone in prefixes, which settles large groups of near copies; then every candidate
+    pair across two components, so no link that would join components is lost.
     """
     # A null id takes part like any other; only the table of candidates' ids needs one.
     scanned = materialize(scan(docs, k), "shingle-scan")
@@ -209,10 +212,8 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataF
         .filter("_low <> _high")
         .select("token", "key", "n", "asked", "place", "width")
         .distinct()
-        .withColumn("lost", F.col("width") - F.count(F.lit(1)).over(W.partitionBy("key")))
-        .withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy("place")))
-        .filter((F.col("n") - F.col("lost")) * 100 >= F.col("n") * percent)
-        .drop("width", "place")
+        .withColumn("alone", F.col("width") - F.count(F.lit(1)).over(W.partitionBy("key")))
+        .drop("width")
     )
     index = materialize(index, "shared-prefixes")
 
@@ -222,15 +223,15 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataF
     grade = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
     group = W.partitionBy("token", "_grade")
     led = index.withColumn("_grade", grade).withColumn(
-        "_leader", F.min(F.struct("lost", "key", "n", "asked")).over(group)
+        "_leader", F.min(F.struct("alone", "key", "n", "asked", "place")).over(group)
     )
     stars = (
         led.filter("key <> _leader.key")
         .select(
-            "key", "n", "asked", "lost", F.col("_leader.key").alias("b"), F.col("_leader.n").alias("m"),
-            F.col("_leader.asked").alias("l"), F.col("_leader.lost").alias("gone"),
+            "key", "n", "asked", "place", F.col("_leader.key").alias("b"), F.col("_leader.n").alias("m"),
+            F.col("_leader.asked").alias("l"), F.col("_leader.place").alias("other"),
         )
-        .filter(_can_meet("n", "lost", "m", "gone", percent))
+        .filter(_can_meet("n", "place", "m", "other", percent, F.least("place", "other")))
         .groupBy(F.col("key").alias("a"), "b")
         .agg(F.count(F.lit(1)).alias("c"), F.min(F.least("asked", "l")).alias("l"))
         .filter("c >= l")
@@ -239,8 +240,10 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataF
     links = _verified(docs, first, stars, k, percent)
     found = materialize(components(links), "star-components")
 
-    # Then all candidates whose components still differ.
-    rooted = index.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn(
+    # Then all candidates whose components still differ.  The first shingle that alike sets share has as many after it
+    # as the smallest alike set would need.
+    firsts = index.filter((F.col("n") - F.col("place")) * 100 >= F.col("n") * percent).drop("asked", "alone")
+    rooted = firsts.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "root", F.coalesce("root", "key")
     )
     apart = (
@@ -251,11 +254,11 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataF
     )
     apart = materialize(apart, "apart")
     other = apart.toDF(*[c if c == "token" else f"{c}_b" for c in apart.columns])
-    # The first shingle that two sets share comes early among those that either shares with any set.
+    # One row of a pair is that of the first shingle the sets share.
     near = (
         apart.join(other, "token")
         .filter((F.col("key") < F.col("key_b")) & (F.col("root") != F.col("root_b")))
-        .filter(_can_meet("n", F.col("lost") + F.col("nth") - 1, "n_b", F.col("lost_b") + F.col("nth_b") - 1, percent))
+        .filter(_can_meet("n", "place", "n_b", "place_b", percent))
         .select(F.col("key").alias("a"), F.col("key_b").alias("b"))
         .distinct()
     )

@@ -64,6 +64,27 @@ def test_equals_all_pairs(spark, seed):
     same(documents(spark, texts), rows)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_insertions_and_deletions(spark, seed):
+    """Pairs of J 0.80 to 0.90 where one text has words more, at its end, its start or amid; a third shares its tail."""
+    rng = random.Random(100 + seed)
+    texts = []
+    for f in range(60):
+        base = [f"f{f}w{i}" for i in range(104)]
+        more = [f"f{f}x{i}" for i in range(rng.randint(11, 25) - (4 if f % 3 == 2 else 0))]
+        at = (len(base), 0, rng.randrange(20, 80))[f % 3]
+        longer = base[:at] + more + base[at:]
+        texts += [" ".join(base), " ".join(longer)]
+        if f % 2:
+            texts.append(" ".join(longer[:-12] if f % 4 == 1 else longer[12:]))
+    sets = [shingles(t) for t in texts]
+    assert sum(0.8 <= len(a & b) / len(a | b) < 0.91 for i, a in enumerate(sets) for b in sets[:i]) >= 60
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    rows = [(i, texts[k]) for i, k in enumerate(order)]
+    same(documents(spark, [t for _, t in rows]), rows)
+
+
 def test_chain(spark):
     """Ends of a chain of alike neighbours are one component."""
     base = [f"c{i}" for i in range(120)]
