@@ -25,6 +25,7 @@ LEAST_PAGES = 3  # pages a template token must occur on
 LEAST_SHARE = 0.5  # and the share of the host's pages
 LEAST_TOKENS = 3  # tokens in a class
 MENU_LINKS = 0.6  # share of a slot's text in links that makes it a menu
+SAME_TEXT = 0.9  # pages of a host whose longest blocks, up to this share of their text, are equal count once
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
@@ -221,19 +222,33 @@ def _text_token(block: Block) -> int:
     return _hash("text", block.path, block.text)
 
 
+def content_number(page: Page) -> int:
+    """One number for what a page says: the longest of its blocks that may be content, in any order."""
+    blocks = [b for b in page.blocks if not b.out and b.linked < len(b.text) * MENU_LINKS]
+    blocks = [b for b in blocks if b.main] or blocks or page.blocks
+    texts = sorted({b.text for b in blocks}, key=lambda t: (-len(t), t))
+    taken, left = [], SAME_TEXT * sum(map(len, texts))
+    for text in texts:
+        if left <= 0:
+            break
+        taken.append(text)
+        left -= len(text)
+    return _hash("content", *taken)
+
+
 def tokens(pages: DataFrame) -> DataFrame:
-    """(host, token, parent, kind, vector, chars, linked), one row per token of each page.
+    """(host, content, token, parent, kind, vector, chars, linked), one row per token of each page.
 
-    ``vector`` is a number for the page and the count in it; their sum stands for the occurrence vector.
+    ``vector`` is a number for the page's content and the count in it; their sum stands for the occurrence vector.
     ``kind`` is 0 for an element, 1 for text, 2 for the page itself.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for host, url, source in zip(*(c.to_pylist() for c in batch.columns)):
+            out: list[list] = [[] for _ in range(8)]
+            for host, source in zip(*(c.to_pylist() for c in batch.columns)):
                 page = parse(source or "")
-                own = xxhash.xxh64_intdigest(f"{url}\x00{source}".encode("utf-8", "replace"))
+                own = content_number(page)
                 chars: dict[int, list[int]] = {}
                 texts: dict[int, list[int]] = {}
                 for block in page.blocks:
@@ -246,28 +261,31 @@ def tokens(pages: DataFrame) -> DataFrame:
                 rows += [(t, parent, 1, n) for t, (n, parent) in texts.items()]
                 for token, parent, kind, n in rows:
                     size = chars.get(token, (0, 0)) if kind == 0 else (0, 0)
-                    vector = xxhash.xxh64_intdigest(own.to_bytes(8) + n.to_bytes(8)) >> 24
-                    for column, value in zip(out, (host, token, parent, kind, vector, *size)):
+                    vector = xxhash.xxh64_intdigest(own.to_bytes(8, signed=True) + n.to_bytes(8)) >> 24
+                    for column, value in zip(out, (host, own, token, parent, kind, vector, *size)):
                         column.append(value)
-            types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(out, types)],
-                names=["host", "token", "parent", "kind", "vector", "chars", "linked"],
+                names=["host", "content", "token", "parent", "kind", "vector", "chars", "linked"],
             )
 
-    schema = "host string, token long, parent long, kind int, vector long, chars long, linked long"
-    return pages.select(host_of("url").alias("host"), "url", "html").mapInArrow(run, schema)
+    schema = "host string, content long, token long, parent long, kind int, vector long, chars long, linked long"
+    return pages.select(host_of("url").alias("host"), "html").mapInArrow(run, schema)
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, elements, texts, menus): the tokens of each host's template, and its slots that are menus.
 
-    Occurrence vectors are summed before the shuffle, so a host with a third of all pages costs no more than its
-    template.  A class counts if it is large and frequent enough and valid: an element needs its
-    parent, and a text its element, in the template too.
+    Pages of one content are one page with the tokens of them all: copies don't make an article a template.  Occurrence
+    vectors are then summed before the shuffle, so a host with a third of all pages costs no more than its
+    template in one task.  A class counts if it is large and frequent enough and valid: an element needs its
+    parent in the template too.
     """
     summed = materialize(
         tokens(pages)
+        .groupBy("host", "content", "token", "parent", "kind")
+        .agg(F.max("vector").alias("vector"), F.max("chars").alias("chars"), F.max("linked").alias("linked"))
         .groupBy("host", "token", "parent", "kind")
         .agg(
             F.sum("vector").alias("vector"), F.count(F.lit(1)).alias("pages"),
@@ -284,7 +302,9 @@ def templates(pages: DataFrame) -> DataFrame:
     classes = frequent.groupBy("host", "vector", "pages").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_TOKENS)
     member = frequent.join(classes.drop("n"), ["host", "vector", "pages"])
     above = member.filter("kind = 0").select("host", F.col("token").alias("parent"))
-    valid = member.join(above, ["host", "parent"], "left_semi").union(member.filter("kind = 0 and parent = 0"))
+    nested = member.filter("kind = 0").join(above, ["host", "parent"], "left_semi")
+    # The element around a text may occur more often than the text.
+    valid = nested.unionByName(member.filter("kind = 1 or parent = 0"))
     menu = (F.col("kind") == 0) & (F.col("chars") > 0) & (F.col("linked") >= F.col("chars") * MENU_LINKS)
     return valid.groupBy("host").agg(
         F.collect_list(F.when(F.col("kind") == 0, F.col("token"))).alias("elements"),
@@ -297,22 +317,23 @@ def main_text(page: Page, elements: set[int], texts: set[int], menus: set[int])
     """Blocks of the page's content slots, one to a line.
 
     A block belongs to the innermost template element around it, or, on a page whose host has no
-    template, to its own element.  Inside an article all text is content but what marks itself otherwise.  On
-    a page without one, the template's text, menus and blocks mostly made of links are left out.
+    template, to its own element.  The template's text, and blocks mostly made of links in its menus, are left out
+    everywhere.  Outside articles all that lies in menus is, and all blocks mostly made of links.  Without a
+    template an article's marks alone tell what is content; with one, its other slots are content too.
     """
     inner = any(b.main and not b.out for b in page.blocks)
     kept = []
     for block in page.blocks:
-        if block.out or (inner and not block.main):
+        if block.out or _text_token(block) in texts:
+            continue
+        if inner and not block.main and not elements:
+            continue
+        slot = block.path
+        while slot and slot not in elements and slot in page.elements:
+            slot = page.elements[slot][1]
+        links = block.linked >= len(block.text) * MENU_LINKS
+        if (slot in menus and links) if block.main else (slot in menus or links):
             continue
-        if not inner:
-            slot = block.path
-            while slot and slot not in elements and slot in page.elements:
-                slot = page.elements[slot][1]
-            if slot in menus or _text_token(block) in texts:
-                continue
-            if block.linked >= len(block.text) * MENU_LINKS:
-                continue
         kept.append(block.text)
     return "\n".join(kept)
 
@@ -320,7 +341,7 @@ def main_text(page: Page, elements: set[int], texts: set[int], menus: set[int])
 def extract(pages: DataFrame) -> DataFrame:
     """Rows of ``pages`` with ``text`` and ``n_chars`` added; a null or empty html gives an empty text.
 
-    Repeated pages count each in the deduction.  Columns of ``pages`` named like an added one are replaced.
+    Pages of equal content count once in the deduction.  Columns of ``pages`` named like an added one are replaced.
     """
     kept = [c for c in pages.columns if c not in ("text", "n_chars")]
     names = [f"_{i}" for i in range(len(kept))]

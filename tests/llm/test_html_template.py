@@ -46,6 +46,34 @@ def test_host_template(spark):
         assert r.text == f"story {r.page_id} begins\nand ends with {r.page_id * 7}" and r.n_chars == len(r.text)
 
 
+def words(*parts):
+    return " ".join(f"{a}{b}" for a in parts for b in "abcdefgh")
+
+
+def test_template_decides_around_articles(spark):
+    """A host's own text inside articles goes, a slot outside them stays."""
+    rows = [
+        (i, f"http://h.example/{i}",
+         f"<body><div class=x1><a href=a>Home {i}</a></div><article><p>story {i} {words(i)}</p><div class=x2><p>Please read our terms</p>"
+         f"<p>All rights are ours</p></div><p>it ends with {i * 7}</p></article><div class=x3><p>afterword {i} of it</p></div></body>")
+        for i in range(8)
+    ]
+    for r in extract(spark.createDataFrame(rows, "page_id int, url string, html string").repartition(4)).collect():
+        i = r.page_id
+        assert r.text == f"story {i} {words(i)}\nit ends with {i * 7}\nafterword {i} of it"
+
+
+def test_copies_are_no_template(spark):
+    """Copies of a page under other addresses and with other links count once, with and without article marks."""
+    story = [words(f"c{k}") for k in range(4)]
+    for open_, close in (("<article>", "</article>"), ("<div class=x3>", "</div>")):
+        page = lambda i, ps: f"<body><div class=x1><a href=a>Home {i}</a></div>{open_}<h1>{ps[0]}</h1>" + "".join(f"<p>{p}</p>" for p in ps[1:]) + f"{close}</body>"
+        texts = [story] * 6 + [[words(f"o{i}"), words(f"p{i}")] for i in range(4)]
+        rows = [(i, f"http://h.example/{i}", page(i, ps)) for i, ps in enumerate(texts)]
+        for r in extract(spark.createDataFrame(rows, "page_id int, url string, html string").repartition(4)).collect():
+            assert r.text == "\n".join(texts[r.page_id])
+
+
 def test_awkward_rows(spark):
     rows = [(1, None, None), (2, "nothing", ""), (None, "http://h/", PAGE), (3, "http://h/", PAGE), (3, "http://h/", PAGE)]
     df = spark.createDataFrame(rows, "page_id int, url string, html string")
