@@ -10,6 +10,7 @@ import os
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -83,10 +84,18 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return curriculum.mix(docs)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with its rows' places: of files, their names in order and the row in each; else the place in the plan."""
+    try:
+        return docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:  # not read from files
+        return docs.select("*", F.lit("").alias("_file"), F.monotonically_increasing_id().alias("_row"))
+
+
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all rows, described as read back; a document taken twice is there twice."""
+    """Token files of all rows in the order they come, described as read back; a document taken twice is there twice."""
     _ready(spark)
-    return token_files.token_files(spark, docs, tokenizer_path(), END_ID)
+    return token_files.token_files(spark, _numbered(docs), tokenizer_path(), END_ID, ("_file", "_row"))
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -181,15 +181,19 @@ def write_tokens(
     page_bytes: int = PAGE_BYTES,
     page_rows: int = PAGE_ROWS,
     split: bool = True,
+    order: tuple[str, ...] = ("doc_id", "text"),
 ) -> None:
     """Write one row per document in ascending doc_id order (nulls first), files in that order too.
 
     Columns: doc_id, part (number of the file), seq (row in the file), n_tokens, ids.  Extra columns are
-    left out.  Rows of one id stand in the order of their texts.  ``encoding`` is "dictionary" or "delta".
+    left out.  Rows of one id stand in the order of their texts.  ``order`` names other columns to write by.
+    ``encoding`` is "dictionary" or "delta".
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding {encoding}")
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = order[:1] if order[0] == "doc_id" else order
+    named = docs.select(*dict.fromkeys(["doc_id", "text", *order]))
+    ordered = named.repartitionByRange(*dealt).sortWithinPartitions(*order)
     placed = ordered.select(
         "doc_id", "text", F.spark_partition_id().alias("part"),
         F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("seq"),
@@ -245,9 +249,11 @@ def checksums(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "part", "seq", "ids").mapInArrow(run, schema)
 
 
-def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Write ``docs`` to new files in the shared folder and describe every document as read from them."""
+def token_files(
+    spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int, order: tuple[str, ...] = ("doc_id", "text")
+) -> DataFrame:
+    """Write ``docs`` by ``order`` to new files in the shared folder and describe every document as read from them."""
     path = os.path.join(shared_dir(spark), f"tokens-{uuid.uuid4().hex}")
-    write_tokens(docs, path, tokenizer, end_id)
+    write_tokens(docs, path, tokenizer, end_id, order=order)
     described = with_start(materialize(checksums(read_tokens(spark, path)), "token-sums"))
     return described.select("doc_id", "start", "n_tokens", "ids_crc32")

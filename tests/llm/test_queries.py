@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -85,6 +86,15 @@ def test_stages_take_awkward_tables(spark, sf_dir):
         assert P.token_stage(spark, docs, sf_dir).count() == docs.count()
 
 
+def test_tokens_stand_in_mixed_order(spark, sf_dir, tmp_path):
+    """Token files follow the order of the files they are made from, not the ids."""
+    path = tmp_path / "mixed"
+    P.mixing_stage(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir).repartition(5).write.parquet(str(path))
+    ids = [i for f in sorted(path.glob("*.parquet")) for i in pq.read_table(f).column("doc_id").to_pylist()]
+    got = P.token_stage(spark, spark.read.parquet(str(path)), sf_dir).orderBy("start").collect()
+    assert [r.doc_id for r in got if r.n_tokens] == ids and ids != sorted(ids)
+
+
 def test_one_row_of_each_group_stays(spark, sf_dir):
     docs = awkward(spark)
     got = P.near_duplicate_stage(spark, docs, sf_dir)
