@@ -11,7 +11,9 @@ import corpus_pipeline
 from quillspark.llm.adapt_join import near_duplicates
 from quillspark.llm.brown_lm import held_out_scores
 from quillspark.llm.curriculum import plan
+from quillspark.llm.dual_tree import rank
 from quillspark.llm.html_template import extract
+from quillspark.llm.inner_top import search
 from quillspark.llm.lsi import contaminated
 from quillspark.llm.order_minhash import fingerprints
 from quillspark.llm.quality import THRESHOLD, classify
@@ -19,6 +21,7 @@ from quillspark.llm.tables import END_ID, table, tokenizer_path
 from quillspark.llm.token_count import count_tokens
 from quillspark.llm.token_files import token_files
 from quillspark.llm.url_filter import LIMIT, RULES, VOCABULARY, filter_urls
+from quillspark.llm.whitening import whiten
 
 CONTEXT = 2048  # tokens
 
@@ -141,6 +144,62 @@ def op6_latent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op11_inner_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest integer inner products of every hundredth vector with all others."""
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op11_inner_top"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (
+  SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM scored)
+SELECT query_id, CAST(n AS INT) AS rank, vec_id, score FROM ranked WHERE n <= 10
+"""
+
+
+@query
+def op12_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty documents of highest score for every benchmark item."""
+    return rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"""unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"""
+
+ORACLES["op12_dual_tree"] = f"""
+WITH words AS (SELECT doc_id, {_TERMS} AS term FROM documents),
+asked AS (SELECT DISTINCT item_id, {_TERMS} AS term FROM benchmark),
+counted AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+lengths AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM counted GROUP BY doc_id),
+total AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM lengths),
+spread AS (SELECT term, count(*) AS df FROM counted GROUP BY term),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(
+      CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT)
+      * ((1000000000 * tf) // (1000 * tf + 20 * (50 + ((50 * n * n_docs) // n_terms))))) AS BIGINT) AS score
+  FROM asked JOIN counted USING (term) JOIN spread USING (term) JOIN lengths USING (doc_id), total
+  GROUP BY item_id, doc_id),
+ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS n
+  FROM scored WHERE score > 0)
+SELECT item_id, CAST(n AS INT) AS rank, doc_id, score FROM ranked WHERE n <= 50
+"""
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first eight components, each brought to variance one."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over all documents."""

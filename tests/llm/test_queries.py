@@ -22,6 +22,8 @@ COLUMNS = {
     "op5_brown_lm": "doc_id held_out n_tokens n_known train_tokens base_score score", "op6_latent_search": "doc_id item_id",
     "op7_jaccard_join": "doc_id n_shingles component_id", "op8_mix": "doc_id size source_size target taken",
     "op9_order_minhash": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
+    "op11_inner_top": "query_id rank vec_id score", "op12_dual_tree": "item_id rank doc_id score",
+    "op13_whitening": "vec_id component n deviation whitened explained identity_error",
     "op10_token_files": "doc_id start n_tokens ids_crc32", "pipeline": "doc_id start n_tokens ids_crc32",
 }
 
@@ -36,7 +38,9 @@ def test_runs_over_the_whole_table(spark, sf_dir, name):
     assert set(COLUMNS[name].split()) <= set(got.columns)
     if name in ORACLES:
         assert differences(got, connect(sf_dir), ORACLES[name]) == ""
-    if name not in ("op6_latent_search", "pipeline"):
+    if name == "op13_whitening":
+        assert got.count() == 8 * spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    elif name not in ("op6_latent_search", "op11_inner_top", "op12_dual_tree", "pipeline"):
         of = "pages" if name in ("op1_url_filter", "op3_html_template") else "documents"
         assert got.count() == spark.read.parquet(f"{sf_dir}/{of}.parquet").count()
 
