@@ -2,7 +2,7 @@
 
     python -m quillspark prepare <folder or file> 
     python -m quillspark render <slug>
-    python -m quillspark review samples|commit <slug> <edited review table>
+    python -m quillspark review samples|commit <slug> [<edited review list>]
     python -m quillspark inbox [--watch SECONDS]
 """
 
@@ -35,7 +35,7 @@ def _parser() -> argparse.ArgumentParser:
     reviewing = commands.add_parser("review")
     reviewing.add_argument("step", choices=("samples", "commit"))
     reviewing.add_argument("slug")
-    reviewing.add_argument("edited", help="the edited review list, a JSON array")
+    reviewing.add_argument("edited", nargs="?", help="the edited review list; default review.json of the book")
     commands.add_parser("inbox").add_argument("--watch", type=int, default=None)
     return parser
 
@@ -59,7 +59,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         books = _books(spark, store, args.slug)
         render(spark, store, _backend(settings, args.silent), books, settings=settings).show(truncate=False)
     elif args.command == "review":
-        edited = read_review_json(spark, args.edited)
+        edited = read_review_json(spark, args.edited or f"{store.root}/{args.slug}/review.json")
         edited = edited.withColumn("slug", F.lit(args.slug)).join(
             _books(spark, store, args.slug), "slug"
         )

@@ -9,6 +9,7 @@ plain replacements that the checking SQL repeats.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,13 +19,15 @@ from quillspark.functions import audio, packing, segment, text, words
 from quillspark.functions.columns import explode_with_pos, is_blank, strip
 from quillspark.functions.html import parse_html
 from quillspark.operators import chapters as ch
-from quillspark.operators import incremental, lexicon, synth, timeline, vocab
-from quillspark.operators.scale import materialize, narrow_index, spread
-from quillspark.sources import epub, tables, testbooks
+from quillspark.operators import incremental, lexicon, morphology, postings, synth, timeline, vocab
+from quillspark.operators.scale import materialize, narrow_index, shared_dir, spread
+from quillspark.plans.prepare import book_meta as prepare_meta
+from quillspark.sources import artifacts, epub, tables, testbooks
 
 RARE_ZIPF = 4.0  # the small corpus has no word below the default threshold
 FRAMES_PER_CHAR, RATE = 8, 8_000
 PART_BYTES = 16_000
+WAV_HEADER = 44
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -49,12 +52,12 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "pages"))
 
 
-def benchmark_words(spark: SparkSession, sf_dir: str, shortest: int = 1) -> DataFrame:
+def benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct lower-cased words of the benchmark texts."""
     found = table(spark, sf_dir, "benchmark").select(
         F.explode(words.runs(F.lower("text"))).alias("word")
     )
-    return found.filter(F.length("word") >= shortest).distinct()
+    return found.distinct()
 
 
 def made_up_ipa(word: str) -> Column:
@@ -62,7 +65,7 @@ def made_up_ipa(word: str) -> Column:
 
 
 def lexicon_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return benchmark_words(spark, sf_dir, 5).select("word", made_up_ipa("word").alias("ipa"))
+    return benchmark_words(spark, sf_dir).select("word", made_up_ipa("word").alias("ipa"))
 
 
 def chunk_rows_of(spark: SparkSession, sf_dir: str, budget: int = 500) -> DataFrame:
@@ -328,13 +331,21 @@ def first_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct spellings that the dictionary does not hold; its entries are capitalised."""
-    plain = benchmark_words(spark, sf_dir).filter(F.col("word").rlike("^[a-z]"))
-    dictionary = plain.select(F.initcap("word").alias("word"))
+    dictionary = benchmark_words(spark, sf_dir).select(F.initcap("word").alias("word"))
     found = documents(spark, sf_dir).select(F.explode_outer(words.runs("text")).alias("word"))
     candidates = found.filter(words.is_candidate_shape("word")).distinct()
     return vocab.drop_known(candidates, "word", dictionary)
 
 
+@query
+def regular_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct words of the documents that may be regular forms of a dictionary word, by the tag that makes them one."""
+    found = documents(spark, sf_dir).select(F.explode_outer(words.runs("text")).alias("word"))
+    tags = F.array(*map(F.lit, sorted({t for of in morphology.TAGS.values() for t in of})))
+    tagged = found.filter(words.is_candidate_shape("word")).distinct().withColumn("tag", F.explode(tags))
+    return morphology.regular_forms(tagged, benchmark_words(spark, sf_dir))
+
+
 @query
 def corpus_zipf(spark: SparkSession, sf_dir: str) -> DataFrame:
     zipf = vocab.zipf_table(vocab.token_counts(documents(spark, sf_dir)))
@@ -383,27 +394,45 @@ def lexicon_apply_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
-def lexicon_apply_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words and two-word entries together; the longer entry wins where both fit."""
+def benchmark_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct pairs of neighbouring words of the benchmark texts."""
     spans = table(spark, sf_dir, "benchmark").select(words.runs(F.lower("text")).alias("w"))
     pairs = spans.select(
         F.explode(F.arrays_zip(F.col("w"), F.expr("slice(w, 2, size(w))").alias("v"))).alias("p")
     ).filter(F.col("p.v").isNotNull())
-    phrases = pairs.select(F.concat_ws(" ", "p.w", "p.v").alias("word")).distinct()
+    return pairs.select(F.concat_ws(" ", "p.w", "p.v").alias("word")).distinct()
+
+
+@query
+def lexicon_apply_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and two-word entries together; the longer entry wins where both fit."""
+    phrases = benchmark_phrases(spark, sf_dir)
     entries = phrases.select("word", made_up_ipa("word").alias("ipa")).unionByName(
         lexicon_table(spark, sf_dir)
     )
     return lexicon.apply_lexicon(documents(spark, sf_dir), "text", entries, ["doc_id"])
 
 
-@query
-def affected_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir, "text", "source").select(
+def chunked_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir, "text", "source").select(
         F.col("source").alias("book_id"), F.col("doc_id").alias("index"),
         packing.chunks("text").alias("chunks"),
     )
-    return lexicon.affected(docs, benchmark_words(spark, sf_dir, 9))
+
+
+@query
+def affected_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = benchmark_words(spark, sf_dir).union(benchmark_phrases(spark, sf_dir))
+    return lexicon.affected(chunked_of(spark, sf_dir), entries)
+
+
+@query
+def phrase_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many documents each pair of words occurs, by the positions of its words in the index."""
+    key = ["book_id", "index"]
+    index = postings.postings(chunked_of(spark, sf_dir), F.array_join("chunks", " "), key)
+    held = postings.occurrences(materialize(index, "postings"), benchmark_phrases(spark, sf_dir), key)
+    return held.groupBy("word").agg(F.count(F.lit(1)).alias("n_chapters"))
 
 
 def examples_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -431,12 +460,14 @@ def lexicon_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select(
-        F.get(words.runs("text"), 0).alias("word"),
-        F.format_string("%d.%d", "conv_id", "turn").alias("ipa"),
-        (F.col("conv_id") * 100_000 + F.col("turn")).alias("ord"),
+    """Every word of every turn as a reviewed word, in the order of the turns and of the words in them."""
+    said = table(spark, sf_dir, "conversations").select("*", words.runs("text").alias("_w"))
+    return explode_with_pos(said, F.col("_w"), "_place", "word").select(
+        "word",
+        F.format_string("%d.%d.%d", "conv_id", "turn", "_place").alias("ipa"),
+        ((F.col("conv_id") * 100_000 + F.col("turn")) * 1_000_000 + F.col("_place")).alias("ord"),
         (F.col("role") == "user").alias("approved"),
-    ).filter(F.col("word").isNotNull())
+    )
 
 
 @query
@@ -472,12 +503,12 @@ def chapter_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chapter_wavs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = timeline.chapter_audio(
-        materialize(timeline.chunk_durations(rendered_of(spark, sf_dir)), "audio"), part_bytes=PART_BYTES
-    )
+    """Chapter audio whose samples are the bytes of the chunks, and their digest."""
+    spoken = synth.synthesize(chunk_rows_of(spark, sf_dir), synth.ByteSynthesizer(RATE), "chunk")
+    parts = timeline.chapter_audio(spoken, part_bytes=PART_BYTES)
     return parts.select(
-        "book_id", "index", "part", "frames", "rate",
-        F.octet_length("wav").cast("bigint").alias("wav_bytes"),
+        "book_id", "index", "part", "frames", "rate", F.octet_length("wav").cast("bigint").alias("wav_bytes"),
+        F.md5(F.expr(f"substring(wav, {WAV_HEADER + 1})")).alias("samples"),
     )
 
 
@@ -528,6 +559,38 @@ def concat_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.concat_manifest(docs, folder)
 
 
+def _digests(spark: SparkSession, pieces: DataFrame) -> DataFrame:
+    """The files of ``pieces`` written and read back."""
+    root = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    artifacts.write_files(pieces, root)
+    found = artifacts.read_files(spark, root)
+    return found.select("folder", "name", F.octet_length("content").cast("bigint").alias("n_bytes"), F.md5("content").alias("digest"))
+
+
+@query
+def render_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """concat.txt and ffmetadata.txt of each source's documents, written as files and read back."""
+    books = books_of(spark, sf_dir).withColumn("slug", F.col("book_id"))
+    blocks = timeline.ffmetadata(marks_of(spark, sf_dir), books_of(spark, sf_dir))
+    lines = concat_manifest(spark, sf_dir).withColumn("part", F.lit(0))
+    return _digests(spark, artifacts.timeline_files(blocks, lines, books))
+
+
+@query
+def prepared_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chapters.json, review.json, review.md and meta.json of each source's documents, written as files and read back."""
+    chunked = documents(spark, sf_dir, "text", "source", "lang").select(
+        F.col("source").alias("book_id"), F.col("doc_id").alias("index"), F.col("lang").alias("title"),
+        packing.chunks("text").alias("chunks"),
+    )
+    books = books_of(spark, sf_dir).select(
+        "*", F.col("book_id").alias("slug"), F.concat(F.lit("sí."), "book_id").alias("source")
+    )
+    review = materialize(review_of(spark, sf_dir), "review")
+    meta = prepare_meta(books, chunked, review)
+    return _digests(spark, artifacts.prepared_files(books, chunked, review, meta))
+
+
 # -- incremental ------------------------------------------------------------------------
 
 

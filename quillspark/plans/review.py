@@ -9,7 +9,7 @@ from quillspark.config import Settings, rooted
 from quillspark.operators import lexicon
 from quillspark.operators.synth import Synthesizer, synthesize
 from quillspark.plans.render import chunk_table, lexicon_of
-from quillspark.sources import tables
+from quillspark.sources import artifacts
 from quillspark.sources.store import Store
 
 
@@ -29,6 +29,8 @@ def samples(
     lines = lexicon.variants(todo.select("book_id", "word", "ipa").join(sentences, ["book_id", "word"]))
     audio = synthesize(lines.select("book_id", "word", "variant", "input"), backend, "input")
     store.write(audio, "samples", version)
+    books = artifacts.one_per_slug(store.read(spark, "books"))
+    artifacts.write_files(artifacts.sample_files(store.read_version(spark, "samples", version), books), store.root)
     return store.read_version(spark, "samples", version)
 
 
@@ -45,9 +47,9 @@ def commit(
     merged = lexicon.upsert_lexicon(lexicon_of(spark, store, settings), chosen)
     store.write(merged, "lexicon", version)
     if filed:
-        tables.write_lexicon_json(store.read_version(spark, "lexicon", version), rooted(settings.paths_lexicon))
-    hit = lexicon.affected(
-        store.read(spark, "chunks"), chosen.select("book_id", "word"), book=["book_id"]
+        artifacts.write_lexicon_json(store.read_version(spark, "lexicon", version), rooted(settings.paths_lexicon))
+    hit = lexicon.affected_by_index(
+        store.read(spark, "postings"), chosen.select("book_id", "word"), book=["book_id"]
     )
     store.write(hit.withColumn("run", F.lit(version).cast("bigint")), "invalidated", version)
     return store.read_version(spark, "invalidated", version).select("book_id", "index")

@@ -1,6 +1,7 @@
 """The flows end to end on small containers made here."""
 
 import json
+import wave
 from dataclasses import dataclass
 
 import pytest
@@ -9,13 +10,13 @@ from pyspark.sql import functions as F
 from quillspark.__main__ import main
 from quillspark.config import Settings, load_settings
 from quillspark.operators.chapters import extract_html
-from quillspark.operators.synth import SilentSynthesizer
+from quillspark.operators.synth import ByteSynthesizer, SilentSynthesizer
 from quillspark.plans.inbox import process_inbox, watch
 from quillspark.plans.prepare import prepare
 from quillspark.plans.render import ChunksFailed, live, render
 from quillspark.plans.review import commit, samples
 from quillspark.session import ship
-from quillspark.sources import epub, tables
+from quillspark.sources import artifacts, epub, tables
 from quillspark.sources.store import Store
 from quillspark.sources.testbooks import pack_book
 
@@ -58,7 +59,7 @@ def test_containers(spark, shelf):
     ]
 
 
-def test_prepare_review_render(spark, shelf):
+def test_prepare_review_render(spark, shelf, tmp_path):
     inbox, store = shelf
     meta = prepare(epub.read_containers(spark, str(inbox)), store).first()
     assert (meta.n_chapters, meta.n_chunks) == (2, 2)
@@ -98,19 +99,68 @@ def test_prepare_review_render(spark, shelf):
 
     marks = store.read(spark, "marks").orderBy("index").collect()
     assert marks[0].start_ms == 0 and marks[0].end_ms == marks[1].start_ms
-    lines = spark.read.text(f"{store.path('metadata_text')}/version={newest}").drop("book_id")
-    whole = [r.value for r in lines.collect()]
+    whole = (tmp_path / "work/the-time-machine/ffmetadata.txt").read_text().split("\n")
     assert whole[0] == ";FFMETADATA1" and "title=The Time Machine" in whole
 
-    sheet = store.path("sheet")
-    tables.write_review_sheet(
-        store.read(spark, "review"), store.read(spark, "books"), sheet
-    )
-    text = [r.value for r in spark.read.text(sheet).collect()]
+    text = (tmp_path / "work/the-time-machine/review.md").read_text().split("\n")
     assert text[0] == "# Pronunciation review: The Time Machine (H. G. Wells)"
     assert "| Eloi | 1 | PERSON | 0.0 |  |" in text
 
 
+def test_files_of_the_flows(spark, shelf, tmp_path):
+    """What the reviewer and the encoder read is there as files, and nothing else of a job stays."""
+    inbox, store = shelf
+    (inbox / "again.epub").write_bytes(book(extra="Other words."))  # of one title: the first by path has the folder
+    (inbox / "two.epub").write_bytes(book("Zwei \u00dc", "B"))
+    prepare(epub.read_containers(spark, str(inbox)), store)
+    folder = tmp_path / "work/the-time-machine"
+    assert sorted(p.name for p in folder.iterdir()) == ["chapters.json", "meta.json", "review.json", "review.md"]
+    chapters = json.loads((folder / "chapters.json").read_text())
+    assert [c["index"] for c in chapters] == [1, 2] and chapters[1]["chunks"] == ["Two We left soon. Other words."]
+    text = json.dumps(chapters, ensure_ascii=False, indent=1)
+    assert (folder / "chapters.json").read_text() == text
+    review = json.loads((folder / "review.json").read_text())
+    assert set(review[0]) == {"word", "count", "label", "zipf", "ipa"} and "Eloi" in [r["word"] for r in review]
+    assert (folder / "review.json").read_text() == json.dumps(review, ensure_ascii=False, indent=1)
+    meta = json.loads((tmp_path / "work/zwei/meta.json").read_text())
+    assert meta["title"] == "Zwei \u00dc" and meta["n_chapters"] == 2 and meta["source"] == "two.epub"
+    assert (tmp_path / "work/zwei/meta.json").read_text() == json.dumps(meta, indent=2)
+
+    render(spark, store, ByteSynthesizer())
+    for line in (folder / "concat.txt").read_text().splitlines():
+        path = line.removeprefix("file '").removesuffix("'")
+        with wave.open(path) as wav:
+            number = int(path[-7:-4])
+            spoken = " ".join(chapters[number - 1]["chunks"]).encode()
+            assert wav.readframes(wav.getnframes()) == spoken
+    assert (folder / "ffmetadata.txt").read_text().startswith(";FFMETADATA1\ntitle=The Time Machine\n")
+    assert not list((tmp_path / "work" / artifacts.STAGING).iterdir())
+
+
+def test_a_failed_job_leaves_nothing(spark, tmp_path):
+    ship(spark)
+    rows = [(f"f{i}", "a.txt", 0, 0, 0.0, None, None, None, None, b"x") for i in range(6)]
+    good = spark.createDataFrame(rows, artifacts.PIECES)
+    bad = good.withColumn("piece", F.when(F.col("folder") == "f3", F.raise_error(F.lit("broken")).cast("binary")).otherwise(F.col("piece")))
+    with pytest.raises(Exception, match="broken"):
+        artifacts.write_files(bad, str(tmp_path / "out"))
+    assert not list((tmp_path / "out").rglob("*.txt"))
+    artifacts.write_files(good, f"file://{tmp_path}/out")
+    assert len(list((tmp_path / "out").rglob("*.txt"))) == 6
+    assert {(r.folder, r.name, bytes(r.content)) for r in artifacts.read_files(spark, f"file://{tmp_path}/out").collect()} == {
+        (f"f{i}", "a.txt", b"x") for i in range(6)
+    }
+
+
+def test_pieces_come_in_order(spark, tmp_path):
+    """Pieces of a file from many tasks, heads first, with what stands between."""
+    ship(spark)
+    rows = [("b", "x.json", 0, 1, float(i), None, None, None, ",", str(i).encode()) for i in range(500)]
+    rows += [("b", "x.json", 0, 0, None, None, None, None, None, b"["), ("b", "x.json", 0, 2, None, None, None, None, None, b"]")]
+    artifacts.write_files(spark.createDataFrame(rows, artifacts.PIECES).repartition(7), str(tmp_path))
+    assert json.loads((tmp_path / "b/x.json").read_text()) == list(range(500))
+
+
 def totals(spark, store):
     """Rows that count in each table of books, and chunks with live audio."""
     names = ("books", "chapters", "chunks", "review", "meta", "library", "marks", "manifest", "encoding")
@@ -226,10 +276,19 @@ def test_command_line(spark, shelf, tmp_path, capsys):
     edited.write_text(json.dumps([{"word": "Eloi", "ipa": "X", "approved": True}, {"word": "Dr"}], indent=2))
     main([*base, "review", "samples", "the-time-machine", str(edited)], spark)
     main([*base, "review", "commit", "the-time-machine", str(edited)], spark)
-    assert [r.word for r in store.lexicon(spark).collect()] == ["eloi"]
+    folder = tmp_path / "work/the-time-machine"
+    assert {p.name for p in (folder / "review_samples").iterdir()} == {"Eloi__default.wav", "Eloi__proposed.wav"}
+    assert json.loads((tmp_path / "lexicon/custom.json").read_text()) == {"eloi": "X"}
+    listed = json.loads((folder / "review.json").read_text())
+    smith = next(r for r in listed if r["word"] == "Smith")
+    smith |= {"ipa": "Y", "approved": True}
+    (folder / "review.json").write_text(json.dumps(listed))
+    main([*base, "review", "commit", "the-time-machine"], spark)  # the book's own list
+    assert json.loads((tmp_path / "lexicon/custom.json").read_text()) == {"eloi": "X", "smith": "Y"}
+    assert sorted(r.word for r in store.lexicon(spark).collect()) == ["eloi", "smith"]
     assert "the-time-machine" in capsys.readouterr().out
     filed = tables.read_lexicon_json(spark, f"{tmp_path}/lexicon/custom.json")
-    assert [(r.word, r.ipa) for r in filed.collect()] == [("eloi", "X")]
+    assert sorted((r.word, r.ipa) for r in filed.collect()) == [("eloi", "X"), ("smith", "Y")]
 
 
 def test_settings(tmp_path):

@@ -1,3 +1,4 @@
+import json
 import random
 import re
 
@@ -8,7 +9,7 @@ from quillspark.functions import audio, words
 from quillspark.operators import incremental, lexicon, scale, synth, timeline, vocab
 from quillspark.session import ship
 from quillspark.sources.media import encoder_arguments
-from quillspark.sources import tables
+from quillspark.sources import artifacts, tables
 
 
 def rows(df):
@@ -207,8 +208,7 @@ def test_phrase_query_equals_regex_on_documents(spark, sf_dir):
         for phrase in map(" ".join, zip(runs, runs[1:])):
             entries[phrase] = "ˈ" + phrase[::-1]
         for run in runs:
-            if len(run) >= 5:
-                entries[run] = "ˈ" + run[::-1]
+            entries[run] = "ˈ" + run[::-1]
     by_first = {}
     for word in entries:
         by_first.setdefault(word.split(" ")[0], []).append(word)
@@ -284,10 +284,15 @@ def test_lexicon_json(spark, tmp_path):
 
 def test_lexicon_json_is_one_sorted_map(spark, tmp_path):
     lex = spark.createDataFrame([("weena", 'a"b'), ("eloi", "\u02c8X"), ("el", "c")], "word string, ipa string")
-    path = tmp_path / "lexicon"
-    tables.write_lexicon_json(lex, str(path))
-    whole = "".join(p.read_text() for p in sorted(path.glob("part-*")))
-    assert whole == '{\n  "el": "c",\n  "eloi": "\u02c8X",\n  "weena": "a\\"b"\n}\n'
+    path = tmp_path / "lexicon" / "custom.json"
+    ship(spark)
+    artifacts.write_lexicon_json(lex, str(path))
+    assert path.read_text() == '{\n  "el": "c",\n  "eloi": "\u02c8X",\n  "weena": "a\\"b"\n}'
+    assert [p.name for p in path.parent.iterdir()] == ["custom.json"]
+    artifacts.write_lexicon_json(lex.filter("word > 'f'"), str(path))  # replaces the file
+    assert json.loads(path.read_text()) == {"weena": 'a"b'}
+    artifacts.write_lexicon_json(lex.filter("false"), str(path))
+    assert json.loads(path.read_text()) == {}
 
 
 # -- audio and timeline -------------------------------------------------------------------
@@ -320,14 +325,38 @@ def test_chapter_audio_joins_in_order(spark, part_bytes, parts):
     pcm = [bytes([i]) * (int(24_000 * s) * 2) for i, s in enumerate((0.5, 1.0, 1.5))]
     data = [("b", 0, i, audio.make_wav(p)) for i, p in enumerate(pcm)]
     df = spark.createDataFrame(data[::-1], "book_id string, index int, n int, wav binary")
-    durations = timeline.chunk_durations(df)
-    assert timeline.chapter_seconds(durations).first().seconds == 3.0
-    joined = timeline.chapter_audio(durations, part_bytes=part_bytes).orderBy("part")
+    assert timeline.chapter_seconds(timeline.chunk_durations(df)).first().seconds == 3.0
+    joined = timeline.chapter_audio(df, part_bytes=part_bytes).orderBy("part")
     again = joined.select("part", audio.parse_wav("wav").alias("w")).orderBy("part").collect()
     assert len(again) == parts
     assert b"".join(bytes(r.w.pcm) for r in again) == b"".join(pcm)
 
 
+def test_samples_are_shuffled_once(spark, capsys):
+    """One exchange carries samples: of all runs to the task of their chapter, which picks the latest."""
+    ship(spark)
+    data = [("b", 0, n, r, audio.make_wav(bytes([65 + n, r]) * 3)) for n in range(3) for r in range(n + 1)]
+    df = spark.createDataFrame(data, "book_id string, index int, n int, run bigint, wav binary").repartition(4)
+    joined = timeline.chapter_audio(df)
+    row = joined.select("part", audio.parse_wav("wav").alias("w")).collect()
+    assert len(row) == 1 and bytes(row[0].w.pcm) == b"".join(bytes([65 + n, n]) * 3 for n in range(3))
+    capsys.readouterr()
+    joined.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_long_chapters_are_dealt_over_tasks(spark, monkeypatch):
+    ship(spark)
+    monkeypatch.setattr(timeline, "CHUNK_BUCKET", 4)
+    data = [("b", 0, n, audio.make_wav(bytes([n]) * 2)) for n in range(10)]
+    df = spark.createDataFrame(data, "book_id string, index int, n int, wav binary").repartition(3)
+    got = timeline.chapter_audio(df, part_bytes=6).select("part", audio.parse_wav("wav").alias("w")).orderBy("part").collect()
+    own = timeline.BUCKET_PARTS
+    assert [r.part for r in got] == [0, 1, own, own + 1, 2 * own]
+    assert b"".join(bytes(r.w.pcm) for r in got) == b"".join(bytes([n]) * 2 for n in range(10))
+
+
 def test_pair_by_position(spark):
     df = spark.createDataFrame([(["a", "b", "c"], [1, 2])], "l array<string>, r array<int>")
     got = df.select(timeline.pair_by_position("l", "r").alias("p")).first().p
