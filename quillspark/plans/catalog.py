@@ -103,6 +103,10 @@ DAMAGE = [
     (" and ", " \uff21\uff42\uff01 "), ("\n", "\r\n"), (" to ", "\u2028"), (" in ", " \x07\ufeff "),
     (" la ", " \u201ela\u201f "), (" de ", " \u02bcde\u201b "),
 ]
+NOTE_MARKS = '<a epub:type="Noteref noteref" href="#n">7</a><sup>8 <a href="#m">9</a></sup>'
+SKIPPED_SECTION = '<section epub:type="Part TOC"><section epub:type="bodymatter">'
+OTHER_SECTION = '<section epub:type="bodymatter chapter"><section epub:type="toc">'
+HEADING_LEVELS = [("<h1>", "<h4>Under</h4><h2>"), ("</h1>", "</h2><h3>Side</h3>")]
 URL_HINTS = [("blog.", "cover."), ("www.", "endnotes."), ("/fr/", "/plot/"), (".html", "-afterword")]
 
 
@@ -254,6 +258,17 @@ def html_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "kind", "title", "text")
 
 
+@query
+def marked_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with note markers, section types and headings of several levels put in."""
+    levels = put_in("html", HEADING_LEVELS)
+    marked = F.replace(levels, F.lit("</p>"), F.lit(NOTE_MARKS + "</p>"))
+    section = F.when(F.contains("url", F.lit("/en/")), SKIPPED_SECTION).otherwise(OTHER_SECTION)
+    put = F.replace(marked, F.lit("<body>"), F.concat(F.lit("<body>"), section))
+    found = ch.extract_html(pages(spark, sf_dir).select("page_id", F.col("url").alias("name"), put.alias("html")))
+    return found.select("page_id", "kind", "title", "text")
+
+
 @query
 def classify_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     section = F.substring_index(F.substring_index("url", "?", 1), "/", -2)
