@@ -265,6 +265,28 @@ def test_watch(spark, shelf):
     assert slugs == ["second", "the-time-machine"]
 
 
+def test_state_of_arrivals(spark, shelf, capsys):
+    """Several batches and restarts give one library; after the first batch ever the library is not asked."""
+    inbox, store = shelf
+    process_inbox(epub.read_containers(spark, str(inbox)), store, QUIET)  # before the stream starts
+    (inbox / "a-later-copy.epub").write_bytes(book(extra="Never read."))
+    (inbox / "two.epub").write_bytes(book("Second", "B"))
+    watch(spark, str(inbox), store, QUIET).awaitTermination()
+    (inbox / "again.epub").write_bytes(book("Second", "C"))
+    (inbox / "third.epub").write_bytes(book("Third", "C"))
+    (inbox / "least.epub").write_bytes(book("Third", "D"))
+    last = watch(spark, str(inbox), store, QUIET)
+    last.awaitTermination()
+    capsys.readouterr()
+    last.explain()
+    plan = capsys.readouterr().out
+    assert "TransformWithState" in plan and "/work/library" not in plan
+    rows = store.read(spark, "library").collect()
+    assert sorted((r.slug, r.book_id.rsplit("/", 1)[1]) for r in rows) == [
+        ("second", "two.epub"), ("the-time-machine", "tm.epub"), ("third", "least.epub"),
+    ]
+
+
 def test_command_line(spark, shelf, tmp_path, capsys):
     inbox, store = shelf
     config = tmp_path / "config.toml"
