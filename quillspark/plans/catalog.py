@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions import audio, packing, segment, text, words
+from quillspark.functions import audio, encoding, packing, segment, text, words
 from quillspark.functions.columns import explode_with_pos, is_blank, strip
 from quillspark.functions.html import parse_html
 from quillspark.operators import chapters as ch
@@ -103,6 +103,12 @@ DAMAGE = [
     (" and ", " \uff21\uff42\uff01 "), ("\n", "\r\n"), (" to ", "\u2028"), (" in ", " \x07\ufeff "),
     (" la ", " \u201ela\u201f "), (" de ", " \u02bcde\u201b "),
 ]
+MOJIBAKE = [
+    ("\u00e9", "\u00c3\u00a9"), ("\u00e8", "\u00c3\u00a8"), ("\u00e4", "\u00c3\u0192\u00c2\u00a4"),
+    ("\u00fc", "\u00c3\u00bc"), ("\u00f3", "o\u0301"), (" the ", " the\u00e2\u20ac\u2122s "),
+    (" of ", " &quot;of&#34; "), (" and ", " &amp; "), (" to ", " \u00e2\u20ac\u0153to\u00e2\u20ac\u009d "),
+    (" de ", " \u00e2\u201a\u00ac5 "), (" und ", " \u00d0\u00b4\u00d0\u00b0 "),
+]
 NOTE_MARKS = '<a epub:type="Noteref noteref" href="#n">7</a><sup>8 <a href="#m">9</a></sup>'
 SKIPPED_SECTION = '<section epub:type="Part TOC"><section epub:type="bodymatter">'
 OTHER_SECTION = '<section epub:type="bodymatter chapter"><section epub:type="toc">'
@@ -195,6 +201,14 @@ def repair_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", text.repair("text").alias("text"))
 
 
+@query
+def repair_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with letters decoded wrongly once and twice, references and loose accents put in; and as they are."""
+    return documents(spark, sf_dir).select(
+        "doc_id", encoding.repair_all(put_in("text", MOJIBAKE)).alias("text"), encoding.repair_all("text").alias("clean")
+    )
+
+
 @query
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.col("text")
