@@ -16,10 +16,9 @@ from pyspark.sql import functions as F
 from quillspark.config import Settings, load_settings, rooted
 from quillspark.operators.synth import SilentSynthesizer, Synthesizer
 from quillspark.plans import inbox, review
-from quillspark.plans.prepare import prepare
+from quillspark.plans.prepare import prepare_folder
 from quillspark.plans.render import render, speech_service
 from quillspark.session import session, ship
-from quillspark.sources.epub import read_containers
 from quillspark.sources.store import Store
 from quillspark.sources.tables import read_review_json
 
@@ -54,7 +53,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     spark = ship(spark or session())
     store = Store(args.work or rooted(settings.paths_work))
     if args.command == "prepare":
-        prepare(read_containers(spark, args.path), store, settings).show(truncate=False)
+        prepare_folder(spark, args.path, store, settings).show(truncate=False)
     elif args.command == "render":
         books = _books(spark, store, args.slug)
         render(spark, store, _backend(settings, args.silent), books, settings=settings).show(truncate=False)

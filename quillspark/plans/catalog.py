@@ -22,7 +22,7 @@ from quillspark.operators import chapters as ch
 from quillspark.operators import incremental, lexicon, morphology, postings, synth, timeline, vocab
 from quillspark.operators.scale import materialize, narrow_index, shared_dir, spread
 from quillspark.plans.prepare import book_meta as prepare_meta
-from quillspark.sources import artifacts, epub, tables, testbooks
+from quillspark.sources import artifacts, book_source, tables, testbooks
 
 RARE_ZIPF = 4.0  # the small corpus has no word below the default threshold
 FRAMES_PER_CHAR, RATE = 8, 8_000
@@ -308,10 +308,18 @@ def chapter_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("book_id", "pos", "index", "title")
 
 
+def containers_of(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of container files bound from the pages."""
+    root = f"{shared_dir(spark)}/containers-{uuid.uuid4().hex}"
+    bound = testbooks.pages_to_containers(pages(spark, sf_dir))
+    artifacts.write_files(artifacts.plain_files(bound.select(text.basename("path").alias("name"), "content"), "inbox"), root)
+    return f"{root}/inbox"
+
+
 @query
 def container_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    opened = epub.open_containers(testbooks.pages_to_containers(pages(spark, sf_dir)))
-    docs = epub.spine_docs(opened)
+    """Documents of container files in reading order; each file is read by several tasks."""
+    docs = book_source.read_documents(spark, containers_of(spark, sf_dir), span="16384")
     return docs.select(
         F.regexp_extract("book_id", "vol([0-9]+)", 1).cast("bigint").alias("volume"), "pos",
         "item_id", "name", "html",
@@ -320,8 +328,8 @@ def container_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def container_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    opened = epub.open_containers(testbooks.pages_to_containers(pages(spark, sf_dir)), False)
-    return epub.books(opened).select("title", "author", "slug", "source")
+    books = book_source.read_books(spark, containers_of(spark, sf_dir))
+    return books.select("title", "author", "slug", "source")
 
 
 @query

@@ -1,6 +1,7 @@
 """The flows end to end on small containers made here."""
 
 import json
+import random
 import wave
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from quillspark.plans.prepare import prepare
 from quillspark.plans.render import ChunksFailed, live, render
 from quillspark.plans.review import commit, samples
 from quillspark.session import ship
-from quillspark.sources import artifacts, epub, tables
+from quillspark.sources import artifacts, book_source, epub, tables
 from quillspark.sources.store import Store
 from quillspark.sources.testbooks import pack_book
 
@@ -59,6 +60,30 @@ def test_containers(spark, shelf):
     ]
 
 
+def test_one_container_is_read_by_several_tasks(spark, tmp_path):
+    """Spans of a container give what the whole does, each document once, in whatever order its parts stand."""
+    ship(spark)
+    rng = random.Random(5)
+    docs = [(f"c{i}", f"ch{i}.xhtml", f"<p>{i} " + "".join(rng.choices("abcdefgh ", k=4_000)) + "</p>") for i in range(40)]
+    spine = [f"c{i}" for i in rng.sample(range(40), 40)] + ["missing", "c3"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/long.epub").write_bytes(pack_book("Long", "A", docs, spine))
+    (tmp_path / "in/short.epub").write_bytes(book())
+    whole = epub.spine_docs(epub.open_containers(epub.read_containers(spark, f"{tmp_path}/in")))
+    for span in ("5000", "100000000"):
+        read = book_source.read_documents(spark, f"{tmp_path}/in", span=span)
+        assert sorted(map(tuple, read.collect())) == sorted(map(tuple, whole.select(read.columns).collect()))
+        tasks = read.filter("book_id like '%long%'").select(F.spark_partition_id().alias("p")).distinct().count()
+        assert tasks > 5 if span == "5000" else tasks == 1
+    one = book_source.read_books(spark, f"file://{tmp_path}/in/short.epub").collect()
+    assert [(r.title, r.author, r.slug, r.source) for r in one] == [("The Time Machine", "H. G. Wells", "the-time-machine", "short.epub")]
+    assert book_source.read_documents(spark, f"{tmp_path}/in", glob="*.none").count() == 0
+    sizes = [("a", 5), ("b", 30), ("c", 4), ("d", 9), ("e", 0)]
+    assert [p.files for p in book_source.plan_spans(sizes, 10)] == [
+        [("b", 0, 3)], [("b", 1, 3)], [("b", 2, 3)], [("a", 0, 1), ("c", 0, 1)], [("d", 0, 1), ("e", 0, 1)],
+    ]
+
+
 def test_prepare_review_render(spark, shelf, tmp_path):
     inbox, store = shelf
     meta = prepare(epub.read_containers(spark, str(inbox)), store).first()
