@@ -25,7 +25,7 @@ from quillspark.plans.prepare import book_meta as prepare_meta
 from quillspark.sources import artifacts, book_source, tables, testbooks
 
 RARE_ZIPF = 4.0  # the small corpus has no word below the default threshold
-FRAMES_PER_CHAR, RATE = 8, 8_000
+RATE = 8_000
 PART_BYTES = 16_000
 WAV_HEADER = 44
 Query = Callable[[SparkSession, str], DataFrame]
@@ -524,13 +524,13 @@ def synthesis_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rendered_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    backend = synth.SilentSynthesizer(RATE, FRAMES_PER_CHAR)
-    return synth.synthesize(chunk_rows_of(spark, sf_dir), backend, "chunk").drop("error", "bytes")
+    """Chunk audio whose samples are the bytes of the text."""
+    return synth.synthesize(chunk_rows_of(spark, sf_dir), synth.ByteSynthesizer(RATE), "chunk")
 
 
 def durations_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames and rate as they stand beside the audio; no samples are read."""
-    return rendered_of(spark, sf_dir).drop("wav")
+    """Frames and rate as the WAV of each chunk has them."""
+    return timeline.chunk_durations(rendered_of(spark, sf_dir)).drop("pcm")
 
 
 @query
@@ -541,8 +541,7 @@ def chapter_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def chapter_wavs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapter audio whose samples are the bytes of the chunks, and their digest."""
-    spoken = synth.synthesize(chunk_rows_of(spark, sf_dir), synth.ByteSynthesizer(RATE), "chunk")
-    parts = timeline.chapter_audio(spoken, part_bytes=PART_BYTES)
+    parts = timeline.chapter_audio(rendered_of(spark, sf_dir), part_bytes=PART_BYTES)
     return parts.select(
         "book_id", "index", "part", "frames", "rate", F.octet_length("wav").cast("bigint").alias("wav_bytes"),
         F.md5(F.expr(f"substring(wav, {WAV_HEADER + 1})")).alias("samples"),
