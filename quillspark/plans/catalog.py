@@ -319,7 +319,7 @@ def containers_of(spark: SparkSession, sf_dir: str) -> str:
 @query
 def container_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of container files in reading order; each file is read by several tasks."""
-    docs = book_source.read_documents(spark, containers_of(spark, sf_dir), span="16384")
+    docs = book_source.read_documents(spark, containers_of(spark, sf_dir), span="32768")
     return docs.select(
         F.regexp_extract("book_id", "vol([0-9]+)", 1).cast("bigint").alias("volume"), "pos",
         "item_id", "name", "html",
@@ -467,8 +467,8 @@ def affected_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def phrase_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In how many documents each pair of words occurs, by the positions of its words in the index."""
     key = ["book_id", "index"]
-    index = postings.postings(chunked_of(spark, sf_dir), F.array_join("chunks", " "), key)
-    held = postings.occurrences(materialize(index, "postings"), benchmark_phrases(spark, sf_dir), key)
+    text = F.array_join("chunks", " ")
+    held = postings.occurrences_in(chunked_of(spark, sf_dir), text, benchmark_phrases(spark, sf_dir), key)
     return held.groupBy("word").agg(F.count(F.lit(1)).alias("n_chapters"))
 
 
