@@ -122,15 +122,19 @@ def word_places(
     return np.concatenate(numbers), np.searchsorted(begins, offsets), begins, np.concatenate(ends)
 
 
+def sequences(numbers: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of all sequences of ``k`` neighbouring words."""
+    n = len(numbers) - k + 1
+    rolled = numbers[:n] * _ODD[0]
+    for j in range(1, k):
+        rolled = rolled + numbers[j : n + j] * _ODD[j]
+    return mix(rolled + np.uint64(k))
+
+
 def shingle_sets(numbers: np.ndarray, first: np.ndarray, k: int = 5) -> Iterator[np.ndarray]:
     """Per row its distinct k-word shingles as sorted numbers; fewer words make one, none make none."""
     n = len(numbers)
-    rolled = np.zeros(0, np.uint64)
-    if n >= k:
-        rolled = numbers[: n - k + 1] * _ODD[0]
-        for j in range(1, k):
-            rolled = rolled + numbers[j : n - k + 1 + j] * _ODD[j]
-        rolled = mix(rolled + np.uint64(k))
+    rolled = sequences(numbers, k) if n >= k else np.zeros(0, np.uint64)
     for a, b in zip(first[:-1], first[1:]):
         if b - a >= k:
             yield np.unique(rolled[a : b - k + 1])
