@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +26,16 @@ ARROW_ROWS = "1000"  # documents handed to Python at a time; what stays of a bat
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _ready(spark: SparkSession) -> None:
-    """Send the package to the executors and keep batches small."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Small batches while a pipeline runs; the session's own setting afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ARROW_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +43,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     The scores come from whole texts.  Empty texts are scored by their statistics like any other.
     """
-    _ready(spark)
+    ship(spark)
     forest = quality.train(docs, table(spark, sf_dir, "labels").filter(quality.fold(F.col("doc_id"), 4) != 2))
     scored = quality.score(docs, forest, "_score")
     return scored.filter(F.col("_score") >= quality.THRESHOLD).drop("_score")
@@ -48,7 +55,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Of rows with one id and alike texts one stays, the one whose columns hash lowest.  A group whose ids are all
     null keeps one row too.
     """
-    _ready(spark)
+    ship(spark)
     known, rooted = adapt_join.join(docs)
     placed = known.filter("key is not null").join(rooted, "key", "left")
     # Rows alone in their component keep their place; only groups are looked at.
@@ -73,29 +80,35 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    _ready(spark)
+    ship(spark)
     found = lsi.find_items(docs, table(spark, sf_dir, "benchmark"), "_hits")
     return found.filter(F.size("_hits") == 0).drop("_hits")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, as often as the mix takes them."""
-    _ready(spark)
+    ship(spark)
     return curriculum.mix(docs)
 
 
+PLACE = ("_part", "_file", "_row")
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with its rows' places: of files, their names in order and the row in each; else the place in the plan."""
+    """``docs`` with its rows' places: of files, their numbers and names in order and the row in each; else the place in the plan."""
+    name, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
     try:
-        return docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        # Names are padded to five digits only, so they are ordered by their numbers first.
+        part = F.coalesce(F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long"), F.lit(0))
+        return docs.select("*", *[c.alias(n) for c, n in zip((part, name, row), PLACE)])
     except AnalysisException:  # not read from files
-        return docs.select("*", F.lit("").alias("_file"), F.monotonically_increasing_id().alias("_row"))
+        return docs.select("*", *[c.alias(n) for c, n in zip((F.lit(0), F.lit(""), F.monotonically_increasing_id()), PLACE)])
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all rows in the order they come, described as read back; a document taken twice is there twice."""
-    _ready(spark)
-    return token_files.token_files(spark, _numbered(docs), tokenizer_path(), END_ID, ("_file", "_row"))
+    ship(spark)
+    return token_files.token_files(spark, _numbered(docs), tokenizer_path(), END_ID, PLACE)
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -114,8 +127,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each one's result written as Parquet and read as the next one's input."""
     docs = table(spark, sf_dir, "documents")
     base = os.path.join(shared_dir(spark), f"pipeline-{uuid.uuid4().hex}")
-    for name, stage in STAGES:
-        path = os.path.join(base, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    with _small_batches(spark):
+        for name, stage in STAGES:
+            path = os.path.join(base, name)
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
