@@ -105,3 +105,29 @@ def test_one_row_of_each_group_stays(spark, sf_dir):
     texts = [r.text for r in got.collect()]
     assert texts.count("one") == 1 and got.filter("text is null or trim(text) = ''").count() >= 3
     assert texts.count("a text without an id but with words") == 1
+
+
+def test_files_are_taken_by_number(spark, sf_dir, tmp_path):
+    path = tmp_path / "many"
+    path.mkdir()
+    for at, number in enumerate(("99999", "100000")):
+        one = spark.createDataFrame([(9 - at, "a b", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+        pq.write_table(one.toArrow(), path / f"part-{number}-x.parquet")
+    got = P.token_stage(spark, spark.read.parquet(str(path)), sf_dir).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [9, 8]
+
+
+def test_settings_of_the_session_are_left(spark, sf_dir, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(name), []
+
+    def look(session, docs, _):
+        seen.append(session.conf.get(name))
+        return docs
+
+    monkeypatch.setattr(P, "STAGES", [("look", look)])
+    assert P.run(spark, sf_dir).count() and seen == [P.ARROW_ROWS] and spark.conf.get(name) == before
+    monkeypatch.setattr(P, "STAGES", [("fail", lambda *_: 1 / 0)])
+    with pytest.raises(ZeroDivisionError):
+        P.run(spark, sf_dir)
+    assert spark.conf.get(name) == before
