@@ -21,21 +21,30 @@ from quillspark.llm.tables import END_ID, table, tokenizer_path
 from quillspark.operators.scale import materialize, shared_dir, sized_join
 from quillspark.session import ship
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ARROW_ROWS = "1000"  # documents handed to Python at a time; what stays of a batch's memory adds up over stages
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _ready(spark: SparkSession) -> None:
+    """Send the package to the executors and keep batches small.
+
+    A stage's result is planned when its caller writes it, so a stage called by itself leaves the setting; ``run`` restores it.
+    """
+    ship(spark)
+    spark.conf.set(BATCH_SETTING, ARROW_ROWS)
+
+
 @contextmanager
 def _small_batches(spark: SparkSession) -> Iterator[None]:
     """Small batches while a pipeline runs; the session's own setting afterwards."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ARROW_ROWS)
+    before = spark.conf.get(BATCH_SETTING, None)
+    spark.conf.set(BATCH_SETTING, ARROW_ROWS)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        spark.conf.unset(BATCH_SETTING) if before is None else spark.conf.set(BATCH_SETTING, before)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +52,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     The scores come from whole texts.  Empty texts are scored by their statistics like any other.
     """
-    ship(spark)
+    _ready(spark)
     forest = quality.train(docs, table(spark, sf_dir, "labels").filter(quality.fold(F.col("doc_id"), 4) != 2))
     scored = quality.score(docs, forest, "_score")
     return scored.filter(F.col("_score") >= quality.THRESHOLD).drop("_score")
@@ -55,7 +64,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Of rows with one id and alike texts one stays, the one whose columns hash lowest.  A group whose ids are all
     null keeps one row too.
     """
-    ship(spark)
+    _ready(spark)
     known, rooted = adapt_join.join(docs)
     placed = known.filter("key is not null").join(rooted, "key", "left")
     # Rows alone in their component keep their place; only groups are looked at.
@@ -80,14 +89,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    ship(spark)
+    _ready(spark)
     found = lsi.find_items(docs, table(spark, sf_dir, "benchmark"), "_hits")
     return found.filter(F.size("_hits") == 0).drop("_hits")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, as often as the mix takes them."""
-    ship(spark)
+    _ready(spark)
     return curriculum.mix(docs)
 
 
@@ -107,7 +116,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all rows in the order they come, described as read back; a document taken twice is there twice."""
-    ship(spark)
+    _ready(spark)
     return token_files.token_files(spark, _numbered(docs), tokenizer_path(), END_ID, PLACE)
 
 
