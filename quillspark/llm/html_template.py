@@ -3,8 +3,9 @@
 The tokens of a page are its elements, known by the path of tags and classes that leads to them, and its text
 blocks together with that path.  Tokens with one occurrence vector over the pages of a host form an equivalence
 class.  Large, frequent classes whose elements nest make up the host's template; what lies between
-template tokens are slots.  Slots of content are extracted, slots of menus, notices and the like and the
-template's own text are not.
+template tokens are slots.  The main slot is the smallest that holds most of the host's own text; a slot beside it is content
+if its texts differ from page to page and are long enough beside the main ones, or if it is a heading.  Slots of menus,
+notices and the like and the template's own text are not.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ LEAST_PAGES = 3  # pages a template token must occur on
 LEAST_SHARE = 0.5  # and the share of the host's pages
 LEAST_TOKENS = 3  # tokens in a class
 MENU_LINKS = 0.6  # share of a slot's text in links that makes it a menu
+MAIN_SHARE = 0.5  # of its parent's text that a slot on the way to the main slot holds
+BESIDE = 0.15  # length of a slot's text beside the main one's that makes it content
+DIFFERENT = 0.5  # distinct texts a page that a slot of content has
 SAME_TEXT = 0.9  # pages of a host whose longest blocks, up to this share of their text, are equal count once
 
 _TOKEN = re.compile(
@@ -37,6 +41,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _RAW = {n: re.compile(rf"</{n}\b[^>]*>?", re.I) for n in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption "
@@ -66,6 +71,7 @@ _OUT_WORDS = frozenset(
 # Words that make a name say something about the page: "has-sidebar" is no sidebar.
 _ABOUT = frozenset("has with no without layout wrapper container page body content".split())
 _OUT_ROLES = frozenset(["navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"])
+_MAIN_TAGS = frozenset(["article", "main"])
 _MAIN_WORDS = frozenset(["articlebody", "article", "post", "entry", "story"])
 
 
@@ -84,6 +90,7 @@ class Block:
 class Page:
     blocks: list[Block] = field(default_factory=list)
     elements: dict[int, list[int]] = field(default_factory=dict)  # path -> [occurrences, parent path]
+    headings: set[int] = field(default_factory=set)  # paths of h1 to h6
 
 
 def _hash(*parts) -> int:
@@ -189,7 +196,7 @@ def parse(source: str) -> Page:
         known = names.get(key)
         if known is None:
             sign, out, main = _named(attributes) if attributes.strip() else ("", False, False)
-            known = names[key] = (_hash(here[1], name, sign), out or name in _OUT_TAGS, main or name in ("article", "main"))
+            known = names[key] = (_hash(here[1], name, sign), out or name in _OUT_TAGS, main or name in _MAIN_TAGS)
         path, out, main = known
         if name == "header" and not here[3]:
             out = True
@@ -198,6 +205,8 @@ def parse(source: str) -> Page:
         seen = page.elements.get(path)
         if seen is None:
             page.elements[path] = [1, here[1]]
+            if name in _HEADINGS:
+                page.headings.add(path)
         else:
             seen[0] += 1
         if name in _VOID or attributes.endswith("/") and name not in _BLOCK and name not in _RAW:
@@ -236,103 +245,185 @@ def content_number(page: Page) -> int:
     return _hash("content", *taken)
 
 
-def tokens(pages: DataFrame) -> DataFrame:
-    """(host, content, token, parent, kind, vector, chars, linked), one row per token of each page.
+LISTS = ("elements", "texts", "menus", "sides", "bare")  # of a template
+TOKEN_COLUMNS = "token long, parent long, kind int, vector long, chars long, linked long, held long, said long"
+
+
+def page_tokens(page: Page) -> Iterator[tuple[int, ...]]:
+    """The tokens of a page, as ``TOKEN_COLUMNS``: an element (kind 0, a heading 3), a text (1) and the page itself (2).
 
-    ``vector`` is a number for the page's content and the count in it; their sum stands for the occurrence vector.
-    ``kind`` is 0 for an element, 1 for text, 2 for the page itself.
+    ``chars`` and ``linked`` count the text that stands in an element itself; ``held`` counts all below it that
+    may be content, links apart, and ``said`` is a number for that text.  ``vector`` is a number for the page's content
+    and the token's occurrences in it; its sum over pages stands for the occurrence vector.
     """
+    own = content_number(page)
+    chars: dict[int, list[int]] = {}
+    held: dict[int, list[int]] = {}
+    texts: dict[int, list[int]] = {}
+    for block in page.blocks:
+        size = chars.setdefault(block.path, [0, 0])
+        size[0] += len(block.text)
+        size[1] += block.linked
+        token = _text_token(block)
+        texts.setdefault(token, [0, block.path])[0] += 1
+        if block.out or block.linked >= len(block.text) * MENU_LINKS:
+            continue
+        path, said = block.path, _hash("said", block.text)
+        while True:
+            below = held.setdefault(path, [0, 0])
+            below[0] += len(block.text)
+            below[1] = (below[1] * 31 + said) % 2**61
+            if path not in page.elements:
+                break
+            path = page.elements[path][1]
+    rows = [(0, 0, 2, 1)]
+    rows += [(t, parent, 3 if t in page.headings else 0, n) for t, (n, parent) in page.elements.items()]
+    rows += [(t, parent, 1, n) for t, (n, parent) in texts.items()]
+    for token, parent, kind, n in rows:
+        vector = xxhash.xxh64_intdigest(own.to_bytes(8, signed=True) + n.to_bytes(8)) >> 24
+        sizes = (*chars.get(token, (0, 0)), *held.get(token, (0, 0))) if kind != 1 else (0, 0, 0, 0)
+        yield token, parent, kind, vector, *sizes
+
+
+def tokens(pages: DataFrame) -> DataFrame:
+    """(host, content) and ``TOKEN_COLUMNS``, one row per token of each page."""
+    schema = f"host string, content long, {TOKEN_COLUMNS}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(10)]
             for host, source in zip(*(c.to_pylist() for c in batch.columns)):
                 page = parse(source or "")
                 own = content_number(page)
-                chars: dict[int, list[int]] = {}
-                texts: dict[int, list[int]] = {}
-                for block in page.blocks:
-                    size = chars.setdefault(block.path, [0, 0])
-                    size[0] += len(block.text)
-                    size[1] += block.linked
-                    texts.setdefault(_text_token(block), [0, block.path])[0] += 1
-                rows = [(0, 0, 2, 1)]
-                rows += [(t, parent, 0, n) for t, (n, parent) in page.elements.items()]
-                rows += [(t, parent, 1, n) for t, (n, parent) in texts.items()]
-                for token, parent, kind, n in rows:
-                    size = chars.get(token, (0, 0)) if kind == 0 else (0, 0)
-                    vector = xxhash.xxh64_intdigest(own.to_bytes(8, signed=True) + n.to_bytes(8)) >> 24
-                    for column, value in zip(out, (host, own, token, parent, kind, vector, *size)):
+                for row in page_tokens(page):
+                    for column, value in zip(out, (host, own, *row)):
                         column.append(value)
-            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 5)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, types)],
-                names=["host", "content", "token", "parent", "kind", "vector", "chars", "linked"],
+                [pa.array(c, t) for c, t in zip(out, types)], names=[c.split()[0] for c in schema.split(", ")]
             )
 
-    schema = "host string, content long, token long, parent long, kind int, vector long, chars long, linked long"
     return pages.select(host_of("url").alias("host"), "html").mapInArrow(run, schema)
 
 
+def judge(members: list[dict], all_held: int) -> tuple[int, list[int], list[int]]:
+    """Main slot, slots of no content and bare elements among a host's template elements; its pages hold ``all_held`` text.
+
+    From the page down, the child with at least ``MAIN_SHARE`` of the text is taken, as long as it is a container: an element that
+    mostly holds text itself is one of the main slot's parts.  What an element on this way holds beside its template
+    elements is a slot too; the element is bare if that is no content.
+    """
+    children: dict[int, list[dict]] = {}
+    for m in members:
+        children.setdefault(m["parent"], []).append(m)
+    way, main, held = [], 0, all_held
+    while True:
+        best = max(children.get(main, ()), key=lambda m: (m["held"], -m["token"]), default=None)
+        if best is None or best["held"] < held * MAIN_SHARE or not held or best["chars"] * 2 > best["held"]:
+            break
+        way.append((main, held, best["token"]))
+        main, held = best["token"], best["held"]
+    sides, bare = [], []
+    for at, all_of_it, next_ in way:
+        rest = all_of_it
+        for m in children[at]:
+            rest -= m["held"]
+            long_enough = m["kind"] == 3 or m["held"] >= held * BESIDE
+            if m["token"] != next_ and not (long_enough and m["texts"] >= m["pages"] * DIFFERENT):
+                sides.append(m["token"])
+        if rest < held * BESIDE:
+            bare.append(at)
+    for m in children.get(main, ()):
+        if m["texts"] < m["pages"] * DIFFERENT and m["held"]:
+            sides.append(m["token"])
+    return main, sides, bare
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, elements, texts, menus): the tokens of each host's template, and its slots that are menus.
+    """(host, elements, texts, menus, sides, bare, main): the tokens of each host's template, and how its slots are judged.
 
     Pages of one content are one page with the tokens of them all: copies don't make an article a template.  Occurrence
     vectors are then summed before the shuffle, so a host with a third of all pages costs no more than its
     template in one task.  A class counts if it is large and frequent enough and valid: an element needs its
     parent in the template too.
     """
+    sums = [F.sum(c).alias(c) for c in ("vector", "pages", "chars", "linked", "held")]
     summed = materialize(
         tokens(pages)
         .groupBy("host", "content", "token", "parent", "kind")
-        .agg(F.max("vector").alias("vector"), F.max("chars").alias("chars"), F.max("linked").alias("linked"))
-        .groupBy("host", "token", "parent", "kind")
-        .agg(
-            F.sum("vector").alias("vector"), F.count(F.lit(1)).alias("pages"),
-            F.sum("chars").alias("chars"), F.sum("linked").alias("linked"),
-        ),
+        .agg(*[F.max(c).alias(c) for c in ("vector", "chars", "linked", "held", "said")])
+        .withColumn("pages", F.lit(1))
+        # Equal texts of a slot first, so that the number of different ones is a count of rows.
+        .groupBy("host", "token", "parent", "kind", "said").agg(*sums)
+        .groupBy("host", "token", "parent", "kind").agg(*sums, F.count(F.lit(1)).alias("said")),
         "page-tokens",
     )
-    sizes = summed.filter("kind = 2").select("host", F.col("pages").alias("all_pages"))
+    sizes = summed.filter("kind = 2").select("host", F.col("pages").alias("all_pages"), F.col("held").alias("all_held"))
     frequent = (
-        summed.filter((F.col("kind") < 2) & (F.col("pages") >= LEAST_PAGES))
+        summed.filter((F.col("kind") != 2) & (F.col("pages") >= LEAST_PAGES))
         .join(sizes, "host")
         .filter(F.col("pages") >= F.col("all_pages") * LEAST_SHARE)
     )
     classes = frequent.groupBy("host", "vector", "pages").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_TOKENS)
     member = frequent.join(classes.drop("n"), ["host", "vector", "pages"])
-    above = member.filter("kind = 0").select("host", F.col("token").alias("parent"))
-    nested = member.filter("kind = 0").join(above, ["host", "parent"], "left_semi")
+    above = member.filter("kind <> 1").select("host", F.col("token").alias("parent"))
+    nested = member.filter("kind <> 1").join(above, ["host", "parent"], "left_semi")
     # The element around a text may occur more often than the text.
     valid = nested.unionByName(member.filter("kind = 1 or parent = 0"))
-    menu = (F.col("kind") == 0) & (F.col("chars") > 0) & (F.col("linked") >= F.col("chars") * MENU_LINKS)
-    return valid.groupBy("host").agg(
-        F.collect_list(F.when(F.col("kind") == 0, F.col("token"))).alias("elements"),
+    element = F.struct("token", "parent", "kind", "chars", "linked", "held", "pages", F.col("said").alias("texts"))
+    found = valid.groupBy("host").agg(
+        F.collect_list(F.when(F.col("kind") != 1, element)).alias("members"),
         F.collect_list(F.when(F.col("kind") == 1, F.col("token"))).alias("texts"),
-        F.collect_list(F.when(menu, F.col("token"))).alias("menus"),
+        F.max("all_held").alias("all_held"),
     )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(7)]
+            for r in batch.to_pylist():
+                main, sides, bare = judge(r["members"], r["all_held"])
+                row = (r["host"], [m["token"] for m in r["members"]], r["texts"], menus_of(r["members"]), sides, bare, main)
+                for column, value in zip(out, row):
+                    column.append(value)
+            types = (pa.string(), *[pa.list_(pa.int64())] * 5, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(out, types)], names=["host", *LISTS, "main"]
+            )
 
-def main_text(page: Page, elements: set[int], texts: set[int], menus: set[int]) -> str:
+    lists = ", ".join(f"{c} array<long>" for c in LISTS)
+    return found.mapInArrow(run, f"host string, {lists}, main long")
+
+
+def menus_of(members: list[dict]) -> list[int]:
+    """Elements whose own text stands mostly in links."""
+    return [m["token"] for m in members if m["chars"] and m["linked"] >= m["chars"] * MENU_LINKS]
+
+
+def main_text(page: Page, elements=frozenset(), texts=frozenset(), menus=frozenset(), sides=frozenset(), bare=frozenset(), main: int = 0) -> str:
     """Blocks of the page's content slots, one to a line.
 
-    A block belongs to the innermost template element around it, or, on a page whose host has no
-    template, to its own element.  The template's text, and blocks mostly made of links in its menus, are left out
-    everywhere.  Outside articles all that lies in menus is, and all blocks mostly made of links.  Without a
-    template an article's marks alone tell what is content; with one, its other slots are content too.
+    A block belongs to the innermost template element around it.  The slots' evidence decides: the template's text, slots of
+    no content, and blocks mostly made of links go, and within the main slot only such links as stand in menus.  On a page
+    without the host's main slot, or of a host without a template, an article's marks tell what is content.
     """
+    placed = bool(elements) and (not main or main in page.elements)
     inner = any(b.main and not b.out for b in page.blocks)
     kept = []
     for block in page.blocks:
         if block.out or _text_token(block) in texts:
             continue
-        if inner and not block.main and not elements:
+        if inner and not block.main and not placed:
+            continue
+        around, at = [], block.path
+        while at in page.elements:
+            around.append(at)
+            at = page.elements[at][1]
+        slot = next((e for e in around if e in elements), 0)
+        if placed and (slot in bare or not sides.isdisjoint(around)):
             continue
-        slot = block.path
-        while slot and slot not in elements and slot in page.elements:
-            slot = page.elements[slot][1]
         links = block.linked >= len(block.text) * MENU_LINKS
-        if (slot in menus and links) if block.main else (slot in menus or links):
+        within = main in around if placed and main else block.main
+        if (slot in menus and links) if within else (slot in menus or links):
             continue
         kept.append(block.text)
     return "\n".join(kept)
@@ -360,9 +451,8 @@ def extract(pages: DataFrame) -> DataFrame:
                 if hosts[i] not in sets:
                     if len(sets) > 1000:
                         sets.clear()
-                    sets[hosts[i]] = tuple(
-                        frozenset(batch.column(c)[i].as_py() or ()) for c in ("elements", "texts", "menus")
-                    )
+                    lists = [frozenset(batch.column(c)[i].as_py() or ()) for c in LISTS]
+                    sets[hosts[i]] = (*lists, batch.column("main")[i].as_py() or 0)
                 texts.append(main_text(parse(source or ""), *sets[hosts[i]]))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -373,7 +463,7 @@ def extract(pages: DataFrame) -> DataFrame:
             )
 
     schema = ", ".join(f"{n} {renamed.schema[n].dataType.simpleString()}" for n in names)
-    out = joined.select(*names, "_host", "elements", "texts", "menus").mapInArrow(run, f"{schema}, _text string, _chars long")
+    out = joined.select(*names, "_host", *LISTS, "main").mapInArrow(run, f"{schema}, _text string, _chars long")
     return out.select(
         *[out[n].alias(c) for c, n in zip(kept, names)], out["_text"].alias("text"), out["_chars"].alias("n_chars")
     )

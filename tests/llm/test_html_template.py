@@ -1,3 +1,8 @@
+import collections
+import os
+import re
+
+from quillspark.llm import html_template as H
 from quillspark.llm.html_template import extract, main_text, parse, templates
 from tests.llm.helpers import clashing
 
@@ -80,3 +85,88 @@ def test_awkward_rows(spark):
     got = extract(df).collect()
     assert len(got) == 5 and sorted(r.n_chars for r in got)[:2] == [0, 0] and all(r.text is not None for r in got)
     assert extract(df.limit(0)).count() == 0
+
+
+def host(url):
+    found = re.search("://([^/?#]*)", url or "")
+    return found[1].lower() if found else ""
+
+
+def plain_templates(rows):
+    """Templates of each host, token by token and page by page."""
+    pages = collections.defaultdict(dict)
+    for r in rows:
+        page = parse(r["html"] or "")
+        tokens = pages[host(r["url"])].setdefault(H.content_number(page), {})
+        for token, parent, kind, *values in H.page_tokens(page):
+            key = (token, parent, kind)
+            tokens[key] = [max(a, b) for a, b in zip(tokens[key], values)] if key in tokens else values
+    out = {}
+    for name, contents in pages.items():
+        seen = collections.defaultdict(list)
+        for tokens in contents.values():
+            for key, values in tokens.items():
+                seen[key].append(values)
+        occurs = {k: (sum(v[0] for v in vs), len(vs)) for k, vs in seen.items() if k[2] != 2 and len(vs) >= max(3, len(contents) / 2)}
+        size = collections.Counter(occurs.values())
+        member = {k for k, v in occurs.items() if size[v] >= 3}
+        elements = {k[0] for k in member if k[2] != 1}
+        valid = [k for k in member if k[2] == 1 or k[1] == 0 or k[1] in elements]
+        rows_of = [
+            dict(token=k[0], parent=k[1], kind=k[2], pages=len(seen[k]), texts=len({v[4] for v in seen[k]}),
+                 **{c: sum(v[i] for v in seen[k]) for i, c in ((1, "chars"), (2, "linked"), (3, "held"))})
+            for k in valid if k[2] != 1
+        ]
+        main, sides, bare = H.judge(rows_of, sum(v[3] for v in seen[(0, 0, 2)]))
+        if valid:
+            lists = ([m["token"] for m in rows_of], [k[0] for k in valid if k[2] == 1], H.menus_of(rows_of), sides, bare)
+            out[name] = (*map(frozenset, lists), main)
+    return out
+
+
+def given(spark, sf_dir):
+    return spark.read.parquet(os.path.join(os.path.dirname(sf_dir), "sf0.01", "pages.parquet"))
+
+
+def test_templates_equal_brute_force(spark, sf_dir):
+    rows = given(spark, sf_dir)
+    want = plain_templates([r.asDict() for r in rows.collect()])
+    got = {r.host: (*[frozenset(r[c]) for c in H.LISTS], r.main) for r in templates(rows.repartition(5)).collect()}
+    assert got == want and want
+
+
+def test_template_needs_no_marks(spark, sf_dir, monkeypatch):
+    """Without class words and article marks the given pages' hosts with a template give the same text."""
+    rows = [r.asDict() for r in given(spark, sf_dir).collect()]
+    known = {r.page_id: r.text for r in extract(given(spark, sf_dir)).collect()}
+    monkeypatch.setattr(H, "_OUT_WORDS", frozenset())
+    monkeypatch.setattr(H, "_MAIN_WORDS", frozenset())
+    monkeypatch.setattr(H, "_MAIN_TAGS", frozenset())
+    found = plain_templates(rows)
+    asked = [r for r in rows if host(r["url"]) in found]
+    assert len(asked) > len(rows) / 2
+    for r in asked:
+        assert main_text(parse(r["html"] or ""), *found[host(r["url"])]) == known[r["page_id"]]
+
+
+HEAD = "<html><head><meta charset=utf-8></head><body>"
+
+
+def layout(i, extra="", story=None):
+    return (
+        f"{HEAD}<div class=k1><a href=a>Home {i}</a></div><div class=k2>Buy {'tea' if i % 3 else 'jam'} today</div>"
+        f"<div class=k3><h1>Title {i}</h1><p>{story or words(f's{i}', f't{i}')}</p>{extra}</div><div class=k4>{i} likes</div></body>"
+    )
+
+
+def test_slots_are_judged(spark):
+    """Beside the main slot short and repeated texts go, headings and long ones stay; other layouts go by marks."""
+    pages = [layout(i) for i in range(12)]
+    pages.append(f"{HEAD}<section><article><p>another layout</p></article><p>below it</p></section></body>")
+    pages.append(layout(50).replace("<div class=k3>", f"<h2>Above 50</h2><div class=k9>{words('q', 'r')}</div><div class=k3>"))
+    rows = [(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    for i in range(12):
+        assert got[i] == f"Title {i}\n{words(f's{i}', f't{i}')}"
+    assert got[12] == "another layout"
+    assert got[13].endswith(f"Title 50\n{words('s50', 't50')}")
