@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import audio, words
+from quillspark.functions import audio, packing, words
 from quillspark.operators import incremental, lexicon, scale, synth, timeline, vocab
 from quillspark.session import ship
 from quillspark.sources.media import encoder_arguments
@@ -435,3 +435,16 @@ def test_live_audio_after_invalidation(spark):
     )
     void = spark.createDataFrame([("b", 0, 2)], "book_id string, index int, run bigint")
     assert rows(incremental.live_audio(made, void)) == [("b", 0, 0, 3), ("b", 1, 0, 1)]
+
+
+def test_chapter_wavs_have_eight_frames_for_each_character(spark, tmp_path):
+    from quillspark.plans import catalog
+
+    ship(spark)
+    docs = spark.createDataFrame([(1, "One café 😀. " * 90, "s"), (2, "Short.", "s"), (3, None, "s")], "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    chunks = docs.select("doc_id", F.explode(packing.chunks("text", 500)).alias("c"))
+    chars = chunks.groupBy("doc_id").agg(F.sum(F.length("c")).alias("n"))
+    got = catalog.QUERIES["chapter_wavs"](spark, str(tmp_path)).groupBy("index").agg(F.sum("frames").alias("f"), F.sum(F.col("wav_bytes") - 44).alias("b"))
+    assert {r["index"]: (r.f, r.b) for r in got.collect()} == {r.doc_id: (8 * r.n, 16 * r.n) for r in chars.collect()}
+    assert audio.read_wav(synth.CodeSynthesizer(8_000).render("é"))[4] == "é".encode("utf-32-be") * 4
