@@ -2,10 +2,12 @@ import json
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import audio, packing, words
+from quillspark.functions import audio, encoding, packing, words
+from quillspark.functions.columns import SLICE_CHARS, in_slices
 from quillspark.operators import incremental, lexicon, scale, synth, timeline, vocab
 from quillspark.session import ship
 from quillspark.sources.media import encoder_arguments
@@ -448,3 +450,40 @@ def test_chapter_wavs_have_eight_frames_for_each_character(spark, tmp_path):
     got = catalog.QUERIES["chapter_wavs"](spark, str(tmp_path)).groupBy("index").agg(F.sum("frames").alias("f"), F.sum(F.col("wav_bytes") - 44).alias("b"))
     assert {r["index"]: (r.f, r.b) for r in got.collect()} == {r.doc_id: (8 * r.n, 16 * r.n) for r in chars.collect()}
     assert audio.read_wav(synth.CodeSynthesizer(8_000).render("é"))[4] == "é".encode("utf-32-be") * 4
+
+
+def test_results_of_text_functions_leave_in_slices():
+    texts = pa.array(["x" * (SLICE_CHARS // 2), None, "y" * (SLICE_CHARS // 2), "z", ""])
+    got = list(in_slices(lambda t: t, texts))
+    assert [len(a) for a in got] == [3, 2] and pa.concat_arrays(got).equals(texts)
+    assert list(in_slices(lambda t: t, pa.array([], pa.string()))) == []
+    assert [a.to_pylist() for a in in_slices(lambda t, n: t * n, pa.array(["a", "b"]), pa.array([2, 3]))] == [["aa", "bbb"]]
+
+
+def test_texts_are_rewritten_by_arrow_in_slices(spark, capsys):
+    ship(spark)
+    lex = spark.createDataFrame([("a", "X")], "word string, ipa string")
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, ""), (4, "c")], "k long, t string")
+    for rows_shipped in (lexicon.SHIP_ROWS, 0):
+        out = lexicon.apply_lexicon(docs, "t", lex, ["k"], ship_rows=rows_shipped)
+        assert rows(out.select("k", F.coalesce("t", F.lit("null")))) == [(1, "[a](/X/) b"), (2, "null"), (3, ""), (4, "c")]
+        out.explain()
+    docs.select(encoding.repair_all("t").alias("t")).explain()
+    evaluated = re.findall(r"ArrowEvalPython \[.*?\], \[.*?\], (\d+)", capsys.readouterr().out)
+    assert set(evaluated) == {"251"}  # Arrow arrays by iterator, not pandas series
+
+
+def test_shapes_are_asked_of_distinct_words(spark, monkeypatch):
+    docs = spark.createDataFrame([("Aa aa bb x1 IV b",), ("aa",), (None,)], "text string")
+    counts = vocab.token_counts(docs)
+    assert rows(counts) == [("aa", 3), ("bb", 1)]
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RLIKE") < plan.index("Aggregate [w")
+    tokens = spark.createDataFrame([("b", 0, 0, "Aa", None), ("b", 0, 1, "x1", None)], "book_id string, index int, pos int, text string, ent_type string")
+    stats = vocab.spelling_stats(tokens, ["book_id"])
+    assert [(r.text, r.n) for r in stats.collect()] == [("Aa", 1)]
+    plan = stats._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RLIKE") < plan.index("Aggregate [book_id")
+    made = []
+    monkeypatch.setattr(vocab, "materialize", lambda df, label="stage": made.append(label) or df)
+    assert vocab.zipf_table(counts).count() == 2 and made == ["counts"]
