@@ -3,7 +3,7 @@
 A container is a zip file with a directory at its end, so a part of it can be read without the rest.  Containers of up to
 ``span`` bytes are dealt over partitions whole, several to one; a larger one is cut into spans of its bytes, and
 each task reads the directory, the package file and those parts that begin in its span.  Nothing holds a whole
-container, neither a row nor a task.
+container, neither a row nor a batch.  Many spans are dealt over a number of tasks that follows the cores.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from quillspark.sources.epub import Package, decode, read_package
 
 SPAN = 32 * 1024 * 1024
 BATCH_BYTES = 8 * 1024 * 1024
+TASKS = 10_000  # most partitions, where the caller names no number
+TASKS_PER_CORE = 8
 ROWS = {
     "documents": "book_id string, pos int, item_id string, name string, html string",
     "packages": "book_id string, title string, author string",
@@ -53,10 +55,16 @@ def plan_spans(sizes: list[tuple[str, int]], span: int) -> list[Span]:
     return [*out, Span(group)] if group else out
 
 
+def dealt(spans: list[Span], tasks: int) -> list[Span]:
+    """The spans over at most ``tasks`` partitions, in turn, so that spans of one container meet different tasks."""
+    return [Span([f for s in spans[k::tasks] for f in s.files]) for k in range(min(tasks, len(spans)))]
+
+
 class BookReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root, self.glob = options["path"], options.get("glob", "*.epub")
         self.span, self.rows = int(options.get("span", SPAN)), options.get("rows", "documents")
+        self.tasks = int(options.get("tasks", TASKS))
 
     def partitions(self) -> list[Span]:
         system, path = fs.FileSystem.from_uri(self.root)
@@ -66,8 +74,8 @@ class BookReader(DataSourceReader):
         listed = [found] if found.is_file else system.get_file_info(fs.FileSelector(path))
         sizes = [(f.path, f.size) for f in listed if f.is_file and (found.is_file or fnmatch.fnmatch(f.base_name, self.glob))]
         if self.rows == "packages":  # each container once
-            return plan_spans([(p, min(s, self.span // 64)) for p, s in sorted(sizes)], self.span)
-        return plan_spans(sorted(sizes), self.span)
+            return dealt(plan_spans([(p, min(s, self.span // 64)) for p, s in sorted(sizes)], self.span), self.tasks)
+        return dealt(plan_spans(sorted(sizes), self.span), self.tasks)
 
     def read(self, partition: Span | None) -> Iterator[pa.RecordBatch]:
         system, _ = fs.FileSystem.from_uri(self.root)
@@ -118,7 +126,8 @@ class BookSource(DataSource):
 
 def _read(spark: SparkSession, path: str, rows: str, **options: str) -> DataFrame:
     spark.dataSource.register(BookSource)
-    return spark.read.format("books").options(path=path, rows=rows, **options).load()
+    tasks = str(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    return spark.read.format("books").options(path=path, rows=rows, **{"tasks": tasks, **options}).load()
 
 
 def read_documents(spark: SparkSession, path: str, **options: str) -> DataFrame:

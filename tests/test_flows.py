@@ -84,6 +84,21 @@ def test_one_container_is_read_by_several_tasks(spark, tmp_path):
     ]
 
 
+def test_spans_of_many_containers_are_dealt_over_few_tasks(spark, tmp_path):
+    spans = book_source.plan_spans([(f"b{i}", 25) for i in range(50)], 10)
+    tasks = [p.files for p in book_source.dealt(spans, 8)]
+    assert len(spans) == 150 and [len(t) for t in tasks] == [19] * 6 + [18] * 2
+    assert sorted(f for t in tasks for f in t) == sorted(f for s in spans for f in s.files)
+    assert all(len({p for p, _, _ in t}) == len(t) for t in tasks)  # spans of one container meet different tasks
+    assert book_source.dealt(spans, 1_000) == spans and book_source.dealt([], 8) == []
+    ship(spark)
+    for i in range(90):
+        (tmp_path / f"b{i:02}.epub").write_bytes(book())
+    read = book_source.read_documents(spark, str(tmp_path), span="100")
+    assert read.rdd.getNumPartitions() == 8 * spark.sparkContext.defaultParallelism
+    assert {r["count"] for r in read.groupBy("book_id").count().collect()} == {4} and read.select("book_id").distinct().count() == 90
+
+
 def test_prepare_review_render(spark, shelf, tmp_path):
     inbox, store = shelf
     meta = prepare(epub.read_containers(spark, str(inbox)), store).first()
