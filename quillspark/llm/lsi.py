@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages of documents and benchmark items are TF-IDF vectors over the benchmark's terms.  A randomised
-SVD, its products summed in Spark, gives a latent space; every passage of every document whose weight
+SVD over all of them, its products summed in Spark, gives a latent space; every passage of every document whose weight
 lies enough in these terms is compared there with the items by cosine.  Candidates are then
 checked: the longest common subsequence with the item, and the item's rarest words, its answer, must be there.
 """
@@ -13,19 +13,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.brown_lm import Lookup
-from quillspark.llm.words import mix, raw, sequences, spans, word_numbers
+from quillspark.llm.words import raw, sequences, spans, word_numbers
 from quillspark.operators.scale import materialize
 
 BLOCK_ITEMS = 20_000  # benchmark items compared in one pass; more are taken in further passes
 WIDTHS, STEP = (20, 44), 10  # words of a passage, and between starts of passages
-SAMPLE_PASSAGES = 20_000  # most document passages the SVD is fitted on; as many as items if fewer
-TEXTS_PER_PASSAGE = 10  # a sample of p of all passages comes from 10p of all texts
+LEAST_PASSAGES = 200  # documents' passages together weigh in the SVD as much as the items, or as so many
+ENTRIES = 2048  # entries of sparse rows multiplied at a time
 RANK, OVER = 128, 16
 SLOT_BITS = 16  # document frequencies are counted by hash
+SLOTS = 1 << SLOT_BITS
+ROWS = 32  # texts whose slots are marked at a time
 WEIGHT = 0.3  # share of a passage's squared weight that must be benchmark terms
 COSINE = 0.5
 COMMON = 0.6  # share of an item's words in the longest common subsequence
@@ -47,24 +50,54 @@ def _slot(numbers: np.ndarray) -> np.ndarray:
     return (numbers >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def inverse_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Per hash slot log((documents + 1) / (documents with it + 1)) over all documents, and the number of their words."""
+def _holders(slots: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Per slot the number of rows that have it."""
+    total = np.zeros(SLOTS, dtype=np.int64)
+    for a in range(0, len(first) - 1, ROWS):
+        own = first[a : a + ROWS + 1]
+        seen = np.zeros((len(own) - 1, SLOTS), dtype=np.uint8)
+        seen[np.repeat(np.arange(len(own) - 1), np.diff(own)), slots[own[0] : own[-1]]] = 1
+        total += np.add.reduce(seen, axis=0, dtype=np.uint8)
+    return total
+
+
+def _count_and_cut(docs: DataFrame, terms: np.ndarray) -> DataFrame:
+    """In one pass over all texts, (slot, n) sums of each task and (terms) of each passage that holds some of ``terms``.
+
+    The two slots after the last one count the texts and all passages.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    kind = pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((1 << SLOT_BITS) + 2, dtype=np.int64)
+        find = Lookup(shared.value)
+        total = np.zeros(SLOTS + 2, dtype=np.int64)
+        names = ["slot", "n", "terms"]
         for batch in batches:
             data, offsets = raw(batch.column(0))
             for a, b in spans(offsets):
                 numbers, first = _words(data, offsets[a : b + 1])
-                row = np.repeat(np.arange(b - a, dtype=np.int64), np.diff(first))
-                once = np.unique((row << SLOT_BITS) | _slot(numbers)) & ((1 << SLOT_BITS) - 1)
-                total[:-2] += np.bincount(once, minlength=1 << SLOT_BITS)
-                total[-2:] += b - a, len(numbers)
+                total[:-2] += _holders(_slot(numbers), first)
+                _, start, end = _windows(first, WIDTHS[-1], WIDTHS[-1])
+                total[-2:] += b - a, len(start)
+                place, sizes = find(numbers), end - start
+                held = place[np.repeat(start - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+                before = np.concatenate([[0], np.cumsum(place >= 0)])
+                counts = before[end] - before[start]
+                ends = np.concatenate([[0], np.cumsum(counts[counts > 0])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(held[held >= 0], pa.int32()))
+                none = pa.nulls(len(lists), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, lists], names=names)
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used]), pa.nulls(len(used), kind)], names=names)
+
+    return docs.select("text").mapInArrow(run, "slot long, n long, terms array<int>")
 
-    rows = docs.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((1 << SLOT_BITS) + 2)
+
+def inverse_frequencies(counted: DataFrame) -> tuple[np.ndarray, int]:
+    """Per hash slot log((documents + 1) / (documents with it + 1)) over all documents, and the number of their passages."""
+    rows = counted.filter("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS + 2)
     counts[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
     return np.log((counts[-2] + 1) / (np.minimum(counts[:-2], counts[-2]) + 1)) + 1e-3, int(counts[-1])
 
@@ -77,15 +110,19 @@ class Items:
     rare: list[np.ndarray]
 
 
-def _items(rows: pa.Table, idf: np.ndarray) -> Items:
+def _item_words(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """Numbers of the words of each item, and the sorted numbers of all."""
     data, offsets = raw(rows.column("text").combine_chunks())
     numbers, first = _words(data, offsets)
-    words = [numbers[a:b] for a, b in zip(first[:-1], first[1:])]
+    return [numbers[a:b] for a, b in zip(first[:-1], first[1:])], np.unique(numbers)
+
+
+def _items(ids: np.ndarray, words: list[np.ndarray], terms: np.ndarray, idf: np.ndarray) -> Items:
     rare = []
     for own in words:
         once = np.unique(own)
         rare.append(once[np.lexsort((once, -idf[_slot(once)]))][:ANSWER])
-    return Items(rows.column("item_id").to_numpy(zero_copy_only=False), words, np.unique(numbers), rare)
+    return Items(ids, words, terms, rare)
 
 
 def _windows(first: np.ndarray, width: int, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,70 +135,56 @@ def _windows(first: np.ndarray, width: int, step: int = STEP) -> tuple[np.ndarra
     return row, start, np.minimum(start + width, first[row + 1])
 
 
-def _passages(docs: DataFrame, terms: np.ndarray, idf: np.ndarray, rate: float) -> DataFrame:
-    """(terms, weights) of a sample of passages: some texts, by their hash, and of these some passages, by theirs."""
-    texts = min(1.0, TEXTS_PER_PASSAGE * rate)
-    rate = rate / texts
-    shared = docs.sparkSession.sparkContext.broadcast((terms, idf))
-    schema = "terms array<int>, weights array<double>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, weight = shared.value
-        find = Lookup(known)
-        for batch in batches:
-            data, offsets = raw(batch.column(0))
-            for a, b in spans(offsets):
-                numbers, first = _words(data, offsets[a : b + 1])
-                _, start, end = _windows(first, WIDTHS[-1], WIDTHS[-1])
-                taken = mix(numbers[start] + numbers[end - 1]) <= np.uint64(rate * float(2**64 - 2**11)) if len(start) else []
-                lists = [numbers[s:e] for s, e in zip(start[taken], end[taken])] if len(start) else []
-                found = [find(x) for x in lists]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([f[f >= 0] for f in found], pa.list_(pa.int32())),
-                        pa.array([weight[_slot(x[f >= 0])] for x, f in zip(lists, found)], pa.list_(pa.float64())),
-                    ],
-                    names=["terms", "weights"],
-                )
-
-    chosen = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(texts * (1 << 30)) + 1
-    return docs.filter(chosen).select("text").mapInArrow(run, schema)
-
-
-def _gram_times(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
-    """A'A times a basis, for the sparse unit rows (terms, weights) of A: partial sums by task, then by term in Spark."""
-    shared = rows.sparkSession.sparkContext.broadcast(basis)
+def _gram_times(rows: DataFrame, basis: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """A'A times a basis, for the sparse unit rows of A: partial sums by task, then by term in Spark."""
+    shared = rows.sparkSession.sparkContext.broadcast((basis.astype(np.float32), weight))
     names = [f"v{j}" for j in range(basis.shape[1])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        right = shared.value
-        total = np.zeros_like(right)
+        right, weight = shared.value
+        total = np.zeros(right.shape)
         for batch in batches:
-            for terms, weights in zip(batch.column(0), batch.column(1)):
-                t, w = np.array(terms.as_py(), dtype=np.int64), np.array(weights.as_py())
-                norm = np.sqrt((w**2).sum())
-                if norm:
-                    w = w / norm
-                    np.add.at(total, t, np.outer(w, w @ right[t]))
+            lists = batch.column("terms")
+            terms = lists.flatten().to_numpy()
+            entries = batch.column("weights").flatten().to_numpy() if weight is None else weight[terms]
+            times = batch.column("times").to_numpy() if "times" in batch.schema.names else np.ones(batch.num_rows)
+            sizes = pc.list_value_length(lists).to_numpy()
+            first = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+            for a, b in spans(first, ENTRIES):
+                # Dense over the terms that these rows hold.
+                used, place = np.unique(terms[first[a] : first[b]], return_inverse=True)
+                if not len(used):
+                    continue
+                cell = np.repeat(np.arange(b - a), sizes[a:b]) * len(used) + place
+                dense = np.bincount(cell, entries[first[a] : first[b]], minlength=(b - a) * len(used)).reshape(b - a, -1)
+                dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-300)
+                dense = dense.astype(np.float32)
+                total[used] += dense.T @ (dense @ right[used] * times[a:b, None].astype(np.float32))
         used = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(used), *[pa.array(total[used, j]) for j in range(right.shape[1])]], names=["term", *names]
+            [pa.array(used), *[pa.array(total[used, j].astype(np.float32)) for j in range(right.shape[1])]], names=["term", *names]
         )
 
-    sums = rows.mapInArrow(run, "term long, " + ", ".join(f"{n} double" for n in names))
+    sums = rows.mapInArrow(run, "term long, " + ", ".join(f"{n} float" for n in names))
     got = sums.groupBy("term").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     out = np.zeros_like(basis)
     out[got.column("term").to_numpy()] = np.stack([got.column(n).to_numpy() for n in names], axis=1)
     return out
 
 
-def latent_space(rows: DataFrame, terms: int, rank: int = RANK, rounds: int = 2) -> np.ndarray:
-    """Right singular vectors (terms x rank) of the rows, by a randomised range finder with power rounds."""
+def latent_space(
+    rows: DataFrame, terms: int, rank: int = RANK, rounds: int = 2, weight: np.ndarray | None = None
+) -> np.ndarray:
+    """Right singular vectors (terms x rank) of the rows, by a randomised range finder with power rounds.
+
+    ``rows`` has the ``terms`` of each row and their ``weights``, or ``weight`` holds one for each term.  A row with a number
+    of ``times`` counts in A'A that often.
+    """
     width = min(terms, rank + OVER)
     basis = np.random.default_rng(11).standard_normal((terms, width))
     for _ in range(rounds):
-        basis, _ = np.linalg.qr(_gram_times(rows, basis))
-    inner = basis.T @ _gram_times(rows, basis)
+        basis, _ = np.linalg.qr(_gram_times(rows, basis, weight))
+    inner = basis.T @ _gram_times(rows, basis, weight)
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     return basis @ vectors[:, np.argsort(-values)[: min(rank, width)]]
 
@@ -292,25 +315,24 @@ def find_items(docs: DataFrame, benchmark: DataFrame, name: str = "hits", cosine
     first, 20-word passages before 44-word ones.  A column of ``docs`` named like the added one is replaced.
     """
     docs = docs.drop(name)
-    idf, words = inverse_frequencies(docs)
     items = materialize(benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text"), "items")
     blocks = -(-items.count() // BLOCK_ITEMS)
     out, found = docs, []
     for block in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").toArrow()
-        own = _items(rows, idf)
-        if not len(own.terms):
+        words, terms = _item_words(rows)
+        if not len(terms):
             continue
-        wanted = min(SAMPLE_PASSAGES, max(200, len(own.words)))
-        sample = _passages(docs, own.terms, idf, min(1.0, wanted / (words / WIDTHS[-1] + 1)))
-        held = [np.searchsorted(own.terms, w).astype(np.int32) for w in own.words]
-        table = pa.table(
-            [pa.array(held, pa.list_(pa.int32())), pa.array([idf[_slot(w)] for w in own.words], pa.list_(pa.float64()))],
-            names=["terms", "weights"],
-        )
-        spark = docs.sparkSession
-        fitted = materialize(sample.union(spark.createDataFrame(table, sample.schema)), "passages")
-        out = _search(out, own, latent_space(fitted, len(own.terms)), idf, cosine)
+        counted = materialize(_count_and_cut(docs, terms), "passages")
+        idf, passages = inverse_frequencies(counted)
+        own = _items(rows.column("item_id").to_numpy(zero_copy_only=False), words, terms, idf)
+        held = [np.searchsorted(terms, w).astype(np.int32) for w in words if len(w)]
+        table = pa.table([pa.array(held, pa.list_(pa.int32())), pa.array(np.ones(len(held)))], names=["terms", "times"])
+        # All passages count, together as much as the items.
+        times = min(1.0, max(LEAST_PASSAGES, len(words)) / max(1, passages))
+        cut = counted.filter("terms is not null").select("terms", F.lit(times).alias("times"))
+        space = latent_space(cut.union(docs.sparkSession.createDataFrame(table, cut.schema)), len(terms), weight=idf[_slot(terms)])
+        out = _search(out, own, space, idf, cosine)
         found.append(f"_found{block}")
         out = out.withColumnRenamed("_found", found[-1])
     hits = F.concat(*found) if found else F.array().cast(f"array<struct<{HIT}>>")

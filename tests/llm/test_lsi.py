@@ -85,6 +85,38 @@ def test_randomised_svd(spark):
     assert np.allclose(np.linalg.norm(unit @ space, "fro"), np.sqrt((s[:8] ** 2).sum()), rtol=0.02)
 
 
+def test_space_is_fitted_on_all_passages(spark, monkeypatch):
+    """Every passage counts, together as much as the items; the space holds what the exact one would."""
+    texts = [" ".join(prose(44 * (1 + k % 7), 300 + k)) for k in range(400)]
+    fits, fit = [], lsi.latent_space
+
+    def kept(rows, terms, **options):
+        space = fit(rows, terms, 40, 8, **options)
+        fits.append((rows.collect(), space))
+        return space
+
+    monkeypatch.setattr(lsi, "latent_space", kept)
+    assert lsi.contaminated(documents(spark, texts), bench(spark)).count() == 0
+    ((rows, space),) = fits
+
+    known = sorted({w for i in ITEMS for w in i.split()})
+    idf = {w: np.log(401 / (1 + sum(w in t for t in map(set, map(str.split, texts))))) + 1e-3 for w in known}
+    passages = [t.split()[k : k + 44] for t in texts for k in range(0, len(t.split()), 44)]
+    some = sum(any(w in idf for w in p) for p in passages)
+    assert len(passages) > 1500 and len(rows) == some + len(ITEMS)
+
+    def unit(words):
+        v = np.array([words.count(w) * idf[w] for w in known])
+        return v / max(np.linalg.norm(v), 1e-12)
+
+    a, b = np.array([unit(p) for p in passages]), np.array([unit(i.split()) for i in ITEMS])
+    exact = np.linalg.eigvalsh(a.T @ a * 200 / len(passages) + b.T @ b)[::-1]
+    numbers = [int(lsi._words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0]) for w in known]
+    c = space[np.argsort(np.argsort(numbers))]
+    held = np.trace(c.T @ (a.T @ (a @ c) * 200 / len(passages) + b.T @ (b @ c)))
+    assert held >= 0.99 * exact[:40].sum()
+
+
 def test_awkward(spark):
     docs = awkward(spark)
     assert lsi.find_items(docs, bench(spark)).count() == docs.count()
