@@ -24,7 +24,7 @@ from quillspark.operators.scale import materialize
 BLOCK_ITEMS = 20_000  # benchmark items compared in one pass; more are taken in further passes
 WIDTHS, STEP = (20, 44), 10  # words of a passage, and between starts of passages
 LEAST_PASSAGES = 200  # documents' passages together weigh in the SVD as much as the items, or as so many
-ENTRIES = 2048  # entries of sparse rows multiplied at a time
+ENTRIES = 512  # entries of sparse rows multiplied at a time
 RANK, OVER = 128, 16
 SLOT_BITS = 16  # document frequencies are counted by hash
 SLOTS = 1 << SLOT_BITS
@@ -34,6 +34,7 @@ COSINE = 0.5
 COMMON = 0.6  # share of an item's words in the longest common subsequence
 ANSWER, ANSWERED = 10, 3  # rarest words of an item, and how many must be in the passage
 TOGETHER = 512  # passages whose latent vectors are computed at a time
+PRESENT = 20_000  # pairs of words compared directly
 SHORT = 8  # items of fewer words are looked up as sequences
 
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -135,6 +136,25 @@ def _windows(first: np.ndarray, width: int, step: int = STEP) -> tuple[np.ndarra
     return row, start, np.minimum(start + width, first[row + 1])
 
 
+def _dense(
+    terms: np.ndarray, first: np.ndarray, entries: np.ndarray | None = None
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Groups of sparse rows as (from, to, the terms that they hold, a matrix over these); an entry is 1 if not given."""
+    sizes = np.diff(first)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    there = np.zeros(int(terms.max(initial=-1)) + 1, dtype=bool)
+    place = np.zeros(len(there), dtype=np.int64)
+    for a, b in spans(first, ENTRIES):
+        own = slice(first[a], first[b])
+        there[terms[own]] = True
+        used = np.flatnonzero(there)
+        if len(used):
+            there[used], place[used] = False, np.arange(len(used))
+            cell = (row[own] - a) * len(used) + place[terms[own]]
+            sums = np.bincount(cell, None if entries is None else entries[own], minlength=(b - a) * len(used))
+            yield a, b, used, sums.astype(np.float32).reshape(b - a, -1)
+
+
 def _gram_times(rows: DataFrame, basis: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
     """A'A times a basis, for the sparse unit rows of A: partial sums by task, then by term in Spark."""
     shared = rows.sparkSession.sparkContext.broadcast((basis.astype(np.float32), weight))
@@ -150,16 +170,9 @@ def _gram_times(rows: DataFrame, basis: np.ndarray, weight: np.ndarray | None =
             times = batch.column("times").to_numpy() if "times" in batch.schema.names else np.ones(batch.num_rows)
             sizes = pc.list_value_length(lists).to_numpy()
             first = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-            for a, b in spans(first, ENTRIES):
-                # Dense over the terms that these rows hold.
-                used, place = np.unique(terms[first[a] : first[b]], return_inverse=True)
-                if not len(used):
-                    continue
-                cell = np.repeat(np.arange(b - a), sizes[a:b]) * len(used) + place
-                dense = np.bincount(cell, entries[first[a] : first[b]], minlength=(b - a) * len(used)).reshape(b - a, -1)
-                dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-300)
-                dense = dense.astype(np.float32)
-                total[used] += dense.T @ (dense @ right[used] * times[a:b, None].astype(np.float32))
+            for a, b, used, dense in _dense(terms, first, entries):
+                squares = np.maximum(np.einsum("ij,ij->i", dense, dense), np.float32(1e-30))
+                total[used] += dense.T @ (dense @ right[used] * (times[a:b] / squares).astype(np.float32)[:, None])
         used = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(used), *[pa.array(total[used, j].astype(np.float32)) for j in range(right.shape[1])]], names=["term", *names]
@@ -197,6 +210,13 @@ def common_words(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
+def _present(words: np.ndarray, text: np.ndarray) -> int:
+    """How many of the words are in the text."""
+    if len(words) * len(text) > PRESENT:
+        return int(np.isin(words, text).sum())
+    return int((words[:, None] == text).any(axis=1).sum())
+
+
 class Sequences:
     """Where the items of fewer than ``SHORT`` words stand in texts, by the numbers of their word sequences."""
 
@@ -234,8 +254,7 @@ HIT = "item_id: bigint, word: bigint, cosine: double, common: double, answered:
 
 def _search(docs: DataFrame, items: Items, space: np.ndarray, idf: np.ndarray, cosine: float) -> DataFrame:
     weight = idf[_slot(items.terms)]
-    scaled = np.zeros((len(weight) + 1, space.shape[1]), dtype=np.float32)  # what one word adds to a passage's latent vector
-    scaled[:-1] = space * weight[:, None]  # the last row, at -1, is for words of no item
+    scaled = (space * weight[:, None]).astype(np.float32)  # what one word adds to a passage's latent vector
     latent = np.zeros((len(items.words), space.shape[1]), dtype=np.float32)
     for i, own in enumerate(items.words):
         latent[i] = scaled[np.searchsorted(items.terms, own)].sum(axis=0)
@@ -253,6 +272,7 @@ def _search(docs: DataFrame, items: Items, space: np.ndarray, idf: np.ndarray, c
         squares = idf[_slot(numbers)] ** 2
         whole = np.concatenate([[0.0], np.cumsum(squares)])
         inside = np.concatenate([[0.0], np.cumsum(np.where(place >= 0, squares, 0.0))])
+        before = np.concatenate([[0], np.cumsum(place >= 0)])
         for width in WIDTHS:
             row, start, end = _windows(first, width)
             share = (inside[end] - inside[start]) / np.maximum(whole[end] - whole[start], 1e-12)
@@ -260,8 +280,11 @@ def _search(docs: DataFrame, items: Items, space: np.ndarray, idf: np.ndarray, c
             for at in range(0, len(near_terms), TOGETHER):
                 group = near_terms[at : at + TOGETHER]
                 sizes = end[group] - start[group]
-                index = np.repeat(start[group] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-                sums = np.add.reduceat(scaled[place[index]], np.cumsum(sizes) - sizes, axis=0)
+                held = place[np.repeat(start[group] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+                counts = before[end[group]] - before[start[group]]
+                sums = np.zeros((len(group), scaled.shape[1]), dtype=np.float32)
+                for a, b, used, dense in _dense(held[held >= 0], np.concatenate([[0], np.cumsum(counts)])):
+                    sums[a:b] = dense @ scaled[used]
                 sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
                 near = sums @ latent.T
                 for k, i in zip(*np.nonzero(near >= cosine)):
@@ -288,8 +311,8 @@ def _search(docs: DataFrame, items: Items, space: np.ndarray, idf: np.ndarray, c
                         old = best.get((row, i))
                         if old and old[2] >= near:
                             continue
-                        answered = int(np.isin(own.rare[i], text).sum())
-                        if answered < min(ANSWERED, len(own.rare[i])):
+                        answered = _present(own.rare[i], text)
+                        if answered < min(ANSWERED, len(own.rare[i])) or _present(item, text) < COMMON * len(item):
                             continue
                         common = common_words(item, text) / len(item)
                         if common >= COMMON:
