@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillspark.llm.components import components
-from quillspark.llm.words import mix, raw, shingle_sets, spans, word_numbers
+from quillspark.llm.words import mix, raw, shingle_sets, spans, tidy, word_numbers
 from quillspark.operators.scale import materialize, sized_join
 
 WORDS = 5
@@ -75,7 +75,7 @@ def scan(docs: DataFrame, k: int = WORDS) -> DataFrame:
                 [empty, pa.array(counts[slots]), empty, pa.array(slots)], names=["doc_id", "n", "key", "slot"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key long, slot long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n long, key long, slot long")
 
 
 def levels(sketch: DataFrame) -> np.ndarray:
@@ -139,7 +139,7 @@ def entries(docs: DataFrame, level: np.ndarray, k: int = WORDS, percent: int = P
                     )
                     tokens, keys, sizes, asked, places, widths, held = [], [], [], [], [], [], 0
 
-    return docs.select("text").mapInArrow(run, "token long, key long, n long, asked int, place int, width int")
+    return docs.select("text").mapInArrow(tidy(run), "token long, key long, n long, asked int, place int, width int")
 
 
 def _can_meet(n: str, place: str, m: str, other: str, percent: int, before: Column | int = 0) -> Column:
@@ -168,7 +168,7 @@ def _shingles(docs: DataFrame, k: int) -> DataFrame:
                     names=["key", "shingles"],
                 )
 
-    return docs.select("text").mapInArrow(run, "key long, shingles array<long>")
+    return docs.select("text").mapInArrow(tidy(run), "key long, shingles array<long>")
 
 
 def _some_id() -> Column:
@@ -285,7 +285,7 @@ def with_key(docs: DataFrame, name: str, k: int = WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*names, "_key"])
 
     schema = ", ".join(f"{n} {renamed.schema[n].dataType.simpleString()}" for n in names)
-    return renamed.mapInArrow(run, f"{schema}, _key long").toDF(*docs.columns, name)
+    return renamed.mapInArrow(tidy(run), f"{schema}, _key long").toDF(*docs.columns, name)
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -21,6 +22,8 @@ SHARE = 1.5  # words of the mix per word of the input
 EPOCHS = 2  # a source gives its words this many times at most
 BUCKET_BITS = 12  # a source's order is cut into 2**12 ranges for its running sum
 MAX_SOURCES = 100_000  # sources and their schedules are planned on the driver
+PIECES = pa.list_(pa.struct([(name, pa.float64()) for name in "tqwg"]))
+PLANNED = pa.schema([("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), ("pieces", PIECES)])
 # Weight over training time as (time, level) knots, by turns; the levels are scaled to the target.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
 
@@ -93,13 +96,11 @@ def plan(
     names = [r["source"] for r in totals]
     levels = [(weights or {}).get(s, CYCLE[i % len(CYCLE)]) for i, s in enumerate(names)]
     aims = targets([r["n"] for r in totals], levels, share, epochs)
-    piece = "array<struct<t:double,q:double,w:double,g:double>>"
+    pieces = [segments((schedules or {}).get(s, SCHEDULES[i % len(SCHEDULES)])) for i, s in enumerate(names)]
+    # As an Arrow table, which the JVM reads itself; rows from Python would start Python workers for nothing else.
+    columns = [names, [r["n"] for r in totals], aims, [[dict(zip("tqwg", p)) for p in own] for own in pieces]]
     planned = spark.createDataFrame(
-        [
-            (s, r["n"], aim, segments((schedules or {}).get(s, SCHEDULES[i % len(SCHEDULES)])))
-            for i, (s, r, aim) in enumerate(zip(names, totals, aims))
-        ],
-        f"source string, source_size long, target double, pieces {piece}",
+        pa.table([pa.array(c, kind) for c, kind in zip(columns, PLANNED.types)], schema=PLANNED)
     ).withColumn("_s", F.xxhash64(F.col("source").isNull(), "source"))
     keyed = sized.withColumn("_s", F.xxhash64(F.col("source").isNull(), "source")).withColumn(
         "_bucket", F.shiftrightunsigned("_h", 64 - BUCKET_BITS)

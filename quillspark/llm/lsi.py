@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.brown_lm import Lookup
-from quillspark.llm.words import raw, sequences, spans, word_numbers
+from quillspark.llm.words import raw, sequences, spans, tidy, word_numbers
 from quillspark.operators.scale import materialize
 
 BLOCK_ITEMS = 20_000  # benchmark items compared in one pass; more are taken in further passes
@@ -92,7 +92,7 @@ def _count_and_cut(docs: DataFrame, terms: np.ndarray) -> DataFrame:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used]), pa.nulls(len(used), kind)], names=names)
 
-    return docs.select("text").mapInArrow(run, "slot long, n long, terms array<int>")
+    return docs.select("text").mapInArrow(tidy(run), "slot long, n long, terms array<int>")
 
 
 def inverse_frequencies(counted: DataFrame) -> tuple[np.ndarray, int]:
@@ -178,7 +178,7 @@ def _gram_times(rows: DataFrame, basis: np.ndarray, weight: np.ndarray | None =
             [pa.array(used), *[pa.array(total[used, j].astype(np.float32)) for j in range(right.shape[1])]], names=["term", *names]
         )
 
-    sums = rows.mapInArrow(run, "term long, " + ", ".join(f"{n} float" for n in names))
+    sums = rows.mapInArrow(tidy(run), "term long, " + ", ".join(f"{n} float" for n in names))
     got = sums.groupBy("term").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     out = np.zeros_like(basis)
     out[got.column("term").to_numpy()] = np.stack([got.column(n).to_numpy() for n in names], axis=1)
@@ -325,7 +325,7 @@ def _search(docs: DataFrame, items: Items, space: np.ndarray, idf: np.ndarray, c
                 )
 
     schema = ", ".join(f"{n} {renamed.schema[n].dataType.simpleString()}" for n in names)
-    out = renamed.mapInArrow(run, f"{schema}, _hits array<struct<{HIT}>>")
+    out = renamed.mapInArrow(tidy(run), f"{schema}, _hits array<struct<{HIT}>>")
     return out.toDF(*docs.columns, "_found")
 
 

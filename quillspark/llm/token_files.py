@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillspark.llm.words import raw, spans, word_places
+from quillspark.llm.words import raw, spans, tidy, word_places
 from quillspark.operators.scale import materialize, shared_dir
 
 CACHE_BITS = 20  # a worker keeps the ids of up to 2**20 words, one for each slot
@@ -167,7 +167,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int | None, split: bool = Tr
 
     renamed = docs.toDF(*names)
     schema = ", ".join(f"{names[i]} {renamed.schema[names[i]].dataType.simpleString()}" for i in kept)
-    out = renamed.mapInArrow(run, ", ".join(filter(None, [schema, "_n long, _ids array<int>"])))
+    out = renamed.mapInArrow(tidy(run), ", ".join(filter(None, [schema, "_n long, _ids array<int>"])))
     return out.toDF(*[docs.columns[i] for i in kept], "n_tokens", "ids")
 
 
@@ -246,7 +246,7 @@ def checksums(rows: DataFrame) -> DataFrame:
             )
 
     schema = "doc_id long, part int, seq long, n_tokens long, ids_crc32 long"
-    return rows.select("doc_id", "part", "seq", "ids").mapInArrow(run, schema)
+    return rows.select("doc_id", "part", "seq", "ids").mapInArrow(tidy(run), schema)
 
 
 def token_files(

@@ -78,3 +78,8 @@ def test_awkward(spark):
     assert C.plan(empty(spark)).count() == 0 and C.mix(empty(spark)).count() == 0
     two = spark.createDataFrame([(1, "a\x0bb\x1cc\xa0d", None)], "doc_id long, text string, source string")
     assert two.select(C.word_count(F.col("text"))).first()[0] == 2
+
+
+def test_plan_starts_no_python_workers(spark):
+    docs = documents(spark, ["one two", "three", "four five six"], sources=["a", None, "b"])
+    assert "ExistingRDD" not in C.plan(docs)._jdf.queryExecution().toString()

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -32,3 +33,26 @@ def test_spans_cover_all_rows():
     offsets = np.cumsum([0, 5, 0, 100, 3, 3, 0])
     spans = list(W.spans(offsets, 10))
     assert spans[0][0] == 0 and spans[-1][1] == 6 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_few_values_are_held_at_a_time():
+    texts = pa.array([("x" * 99 + " ") * 10_000] * 4)
+    data, offsets = W.raw(texts)
+    W.word_numbers(data, offsets)  # fills the tables that stay
+    tracemalloc.start()
+    W.word_numbers(data, offsets)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 16 << 20
+
+
+def test_tidy_gives_memory_back_after_the_last_batch(monkeypatch):
+    told = []
+    monkeypatch.setattr(W, "release", lambda: told.append(True))
+    batches = W.tidy(lambda rows: (r for r in rows))(iter([1, 2]))
+    assert [next(batches), next(batches), told] == [1, 2, []]
+    assert list(batches) == [] and told == [True]
+
+
+def test_release_runs():
+    W.release()
