@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from quillspark.__main__ import main
 from quillspark.config import Settings, load_settings
+from quillspark.operators import scale
 from quillspark.operators.chapters import extract_html
-from quillspark.operators.scale import materialize, scratch, shared_dir
 from quillspark.operators.synth import ByteSynthesizer, SilentSynthesizer
+from quillspark.plans import inbox as inbox_plan
 from quillspark.plans.inbox import process_inbox, stream_pages, watch
 from quillspark.plans.prepare import prepare
 from quillspark.plans.render import ChunksFailed, live, render
@@ -284,13 +285,20 @@ def test_artifacts_of_a_render(spark, shelf):
     assert command[0] == "ffmpeg" and command[-1].endswith("the-time-machine.m4b")
 
 
-def test_a_flow_leaves_its_results_only(spark, shelf, tmp_path):
+@pytest.fixture()
+def shared(monkeypatch, tmp_path):
+    """A shared folder that nothing else writes to."""
+    (tmp_path / "shared").mkdir()
+    for module in (scale, inbox_plan):
+        monkeypatch.setattr(module, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    return tmp_path / "shared"
+
+
+def test_a_flow_leaves_its_results_only(spark, shelf, shared, tmp_path):
     """Intermediate results are gone after each step, also after one that failed; tables and files all stay."""
     inbox, store = shelf
-    shared = lambda: set(os.listdir(shared_dir(spark).removeprefix("file:")))
-    before = shared()
     rows = process_inbox(epub.read_containers(spark, str(inbox)), store, QUIET).collect()
-    assert shared() == before and [r.n_chapters for r in rows] == [2]
+    assert not os.listdir(shared) and [r.n_chapters for r in rows] == [2]
     work = tmp_path / "work/the-time-machine"
     named = {str(p.relative_to(work)) for p in work.rglob("*.*") if p.name[0] != "."}
     assert named == {"chapters.json", "review.json", "review.md", "meta.json", "audio/ch001.wav", "audio/ch002.wav", "concat.txt", "ffmetadata.txt"}
@@ -298,36 +306,33 @@ def test_a_flow_leaves_its_results_only(spark, shelf, tmp_path):
     prepare(epub.read_containers(spark, str(inbox)), other)
     with pytest.raises(ChunksFailed):
         render(spark, other, Moody("Eloi"), retries=1)
-    assert shared() == before
+    assert not os.listdir(shared)
 
 
-def test_streamed_pages_leave_their_flow_only(spark):
+def test_streamed_pages_leave_their_flow_only(spark, shared):
     """The folder of the flow, with all files of its books and a table of each kind, is all that stays."""
     ship(spark)
-    folder = shared_dir(spark).removeprefix("file:")
-    before = set(os.listdir(folder))
     pages = spark.createDataFrame([(i, f"<h1>Page {i}</h1><p>Some words of page {i}.</p>") for i in range(30)], "page_id long, html string")
     rows = stream_pages(spark, pages, repeats=2).collect()
     assert sorted((r.slug, r.n_chapters) for r in rows) == [("pages-volume-0", 25), ("pages-volume-1", 5)]
-    (left,) = set(os.listdir(folder)) - before
-    work = f"{folder}/{left}/work"
+    (left,) = os.listdir(shared)
+    work = shared / left / "work"
     assert left.startswith("inbox-") and {"audio", "chapter_audio", "postings", "review", "library"} <= set(os.listdir(work))
-    heard = sum(n.endswith(".wav") for r in rows for n in os.listdir(f"{work}/{r.slug}/audio") if n[0] != ".")
+    heard = sum(n.endswith(".wav") for r in rows for n in os.listdir(work / r.slug / "audio") if n[0] != ".")
     assert heard == 30
 
 
-def test_scratch_removes_its_own(spark):
+def test_scratch_removes_its_own(spark, shared):
     """Blocks nest; what was written outside of any stays."""
-    outer = materialize(spark.range(3), "outer")
-    with scratch():
-        first = materialize(spark.range(4), "first")
-        with scratch():
-            second = materialize(spark.range(5), "second")
-            assert second.count() == 5
-        (gone,) = {f.rsplit("/", 2)[-2] for f in second.inputFiles()}
-        assert gone not in os.listdir(shared_dir(spark).removeprefix("file:")) and first.count() == 4
-    (gone,) = {f.rsplit("/", 2)[-2] for f in first.inputFiles()}
-    assert gone not in os.listdir(shared_dir(spark).removeprefix("file:")) and outer.count() == 3
+    labels = lambda: {n.split("-")[0] for n in os.listdir(shared)}
+    scale.materialize(spark.range(3), "outer")
+    with scale.scratch():
+        scale.materialize(spark.range(4), "first")
+        with scale.scratch():
+            second = scale.materialize(spark.range(5), "second")
+            assert second.count() == 5 and labels() == {"outer", "first", "second"}
+        assert labels() == {"outer", "first"}
+    assert labels() == {"outer"}
 
 
 def test_audio_is_not_read_to_know_what_is_missing(spark, shelf, capsys):
