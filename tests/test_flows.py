@@ -1,5 +1,6 @@
 """The flows end to end on small containers made here."""
 
+import hashlib
 import json
 import os
 import random
@@ -14,6 +15,7 @@ from quillspark.config import Settings, load_settings
 from quillspark.operators import scale
 from quillspark.operators.chapters import extract_html
 from quillspark.operators.synth import ByteSynthesizer, SilentSynthesizer
+from quillspark.plans import catalog
 from quillspark.plans import inbox as inbox_plan
 from quillspark.plans.inbox import process_inbox, stream_pages, watch
 from quillspark.plans.prepare import prepare
@@ -204,6 +206,29 @@ def test_pieces_come_in_order(spark, tmp_path):
     assert json.loads((tmp_path / "b/x.json").read_text()) == list(range(500))
 
 
+def test_digests_need_no_whole_file_in_memory(spark, tmp_path):
+    """Files beyond what one row may hold are digested too, also under odd names."""
+    ship(spark)
+    small, large, name = b"x", b"0123456789" * 300_000, "spark.sql.sources.binaryFile.maxLength"
+    rows = [("a b%41\u00ed", "x y.json", 0, 1, 0.0, None, None, None, None, small)]
+    rows += [("c/d", "y.txt", 0, 1, float(i), None, None, None, None, large[i * 1_000_000 : (i + 1) * 1_000_000]) for i in range(3)]
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1000")
+    try:
+        got = [tuple(r) for r in catalog._digests(spark, spark.createDataFrame(rows, artifacts.PIECES)).collect()]
+    finally:
+        spark.conf.set(name, before)
+    want = {("a b%41\u00ed", "x y.json"): small, ("c/d", "y.txt"): large}
+    assert sorted(got) == sorted((*k, len(v), hashlib.md5(v).hexdigest()) for k, v in want.items())
+
+
+def test_json_lines_of_many_slices(spark):
+    ship(spark)
+    rows = spark.range(2 * artifacts.SLICE + 3).select("id", F.array(F.col("id").cast("string")).alias("chunks")).coalesce(1)
+    got = rows.select("id", artifacts.json_text(1, True, 1)(F.struct("id", "chunks")).alias("text")).collect()
+    assert len(got) == 2 * artifacts.SLICE + 3 and all(json.loads(r.text) == {"id": r.id, "chunks": [str(r.id)]} for r in got)
+
+
 def totals(spark, store):
     """Rows that count in each table of books, and chunks with live audio."""
     names = ("books", "chapters", "chunks", "review", "meta", "library", "marks", "manifest", "encoding")
